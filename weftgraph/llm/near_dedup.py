@@ -225,18 +225,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         pairs = staged(pairs, "pairs")
         sides = pairs.select("a", "b", F.explode(F.array(F.struct(F.col("a").alias("doc_id"), F.lit(0).alias("side")), F.struct(F.col("b").alias("doc_id"), F.lit(1).alias("side")))).alias("x"))
         sides = sides.select("a", "b", "x.doc_id", "x.side")
-        wanted = packed_texts(texts).join(sides, "doc_id").select("a", "b", "side", "packed")
+        wanted = packed_texts(texts).hint("merge").join(sides, "doc_id").select("a", "b", "side", "packed")
         return staged(wanted.repartition("a", "b").sortWithinPartitions("a", "b", "side").mapInArrow(_confirm, "a long, b long"), "links")
 
     def sketched(pairs: DataFrame) -> DataFrame:
         one, two = (sketches.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in "ab")
-        both = pairs.join(one, "a").join(two, "b").where(f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)")
+        both = pairs.hint("merge").join(one, "a").hint("merge").join(two, "b").where(f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)")
         return both.select("a", "b", "sa", "sb").mapInArrow(_alike, "a long, b long").distinct()
 
     # first level: stars in every node of all trees
     members = reps.select(F.explode("nodes").alias("node"), "rep")
     sizes = staged(members.groupBy("node").agg(F.count("*").alias("size"), F.min("rep").alias("pivot")).where("size > 1"), "sizes")
-    rows = staged(members.join(sizes, "node").select("node", "rep", "pivot"), "rows")
+    rows = staged(members.hint("merge").join(sizes, "node").select("node", "rep", "pivot"), "rows")
     links = confirmed(sketched(rows.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()))
     labels = staged(connected_components(links), "labels")
     rows, pairs = rows.select("node", "rep"), []
@@ -248,7 +248,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         nodes, most = sizes.agg(F.count("*"), F.max("size")).first()
         if not nodes:
             break
-        mine = staged(mine.join(sizes, "node"), "rows")
+        mine = staged(mine.hint("merge").join(sizes, "node"), "rows")
         small = mine.where(F.col("size") <= LEAF).join(sketches, "rep").select("node", "rep", "label", "n", "sketch")
         pairs.append(staged(small.repartition("node").sortWithinPartitions("node").mapInArrow(_leaves, "a long, b long").distinct(), "leaves"))
         if most <= LEAF:
