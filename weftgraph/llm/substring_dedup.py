@@ -320,7 +320,7 @@ def removed_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, Dat
     wanted = wanted.join(long_bytes.select("doc_id", "h").distinct(), ["doc_id", "h"], "left_semi")
     packed = d.mapInArrow(_packed_rows, "doc_id long, h long, packed binary")
     schema = "doc_id long, h long, anchor long, start long, k1 long, k2 long, segment binary"
-    cut = staged(packed.join(wanted, ["doc_id", "h"]).mapInArrow(_cut_segments(length), schema), "segments")
+    cut = staged(packed.hint("merge").join(wanted, ["doc_id", "h"]).mapInArrow(_cut_segments(length), schema), "segments")
     distinct = cut.groupBy("anchor", "k1", "k2").agg(F.first("segment").alias("segment"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     distinct = staged(distinct, "distinct")
     sizes = staged(distinct.groupBy("anchor").agg(F.count("*").alias("size"), F.min("first").alias("low"), F.max("last").alias("high")).where("low < high"), "sizes")
@@ -335,7 +335,7 @@ def removed_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, Dat
     found = staged(found, "found")
     mine = cut.select("doc_id", "h", "start", "k1", "k2").join(found, ["k1", "k2"])
     mine = mine.where(F.array_min("firsts") < F.col("doc_id")).groupBy("doc_id", "h").agg(F.collect_list(F.struct("start", "firsts")).alias("found"))  # of one text
-    changed = packed.join(mine, ["doc_id", "h"]).mapInArrow(_finish(length), "doc_id long, h long, spans array<struct<start:long,end:long>>, kept binary")
+    changed = packed.hint("merge").join(mine, ["doc_id", "h"]).mapInArrow(_finish(length), "doc_id long, h long, spans array<struct<start:long,end:long>>, kept binary")
     return ids, changed
 
 
