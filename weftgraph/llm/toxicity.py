@@ -178,7 +178,7 @@ class Lexicon:
                 continue
             ends = _CLAUSE_END.search(low, end)
             done = ends.start() if ends else len(low)
-            at = max(low.rfind(c, 0, start) + len(c) for c in (".", "!", "?", ";", "\n", ", "))
+            at = max(p + len(c) if (p := low.rfind(c, 0, start)) >= 0 else 0 for c in (".", "!", "?", ";", "\n", ", "))
             yield low[min(at, start) : done]
 
     def features(self, text: str | None) -> list[float]:
@@ -247,7 +247,7 @@ def _count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     for batch in batches:
         for text, toxic in zip(batch.column(0), batch.column(1)):
             words = set(_WORD.findall((text.as_py() or "").lower()))
-            found = {w for w in words if len(w) <= 30} | {w[:n] + "*" for w in words for n in range(SHORTEST, min(LONGEST, len(w) - 1) + 1)}
+            found = {w for w in words if len(w) <= 30} | {w[:n] + "*" for w in words for n in range(SHORTEST, min(LONGEST, len(w)) + 1)}
             held.update((f, toxic.as_py()) for f in found)
             if len(held) > 200_000:
                 yield out(held)
