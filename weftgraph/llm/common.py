@@ -1,41 +1,23 @@
-"""What the operators share: tables, the shared folder, staged tables, partition counts and connected components."""
+"""What the operators share: tables, packed texts, partition counts, file systems and connected components."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..session import shared_dir, staged
+
+__all__ = ["connected_components", "packed_texts", "shared_dir", "shuffle_parts", "staged", "table", "unpacked", "uri_filesystem"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables, read through Spark so that any store works."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder name below ``spark.checkpoint.dir``, which driver and executors share.
-
-    Only where the session has no such setting (single-machine tests) is a local folder chosen and set.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = "file://" + os.path.join(tempfile.gettempdir(), "weftgraph-shared")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
-
-
-def staged(df: DataFrame, purpose: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again: it cuts the lineage and outlives any executor."""
-    path = shared_dir(df.sparkSession, purpose)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     press = zstandard.ZstdCompressor(level=3)
     for batch in batches:
