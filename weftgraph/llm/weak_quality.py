@@ -76,14 +76,14 @@ def votes(text: str | None) -> str:
 
 
 def expectation_maximisation(counts: dict[str, int], rounds: int = 100) -> tuple[dict[str, float], np.ndarray]:
-    """The posterior of good by pattern, and the estimated P(vote | class): labeller, class (bad, good), vote."""
+    """The posterior of good by pattern, and the estimated P(vote | class) of those who vote: labeller, class (bad, good), vote (good, bad)."""
     patterns = sorted(counts)
     if not patterns:
-        return {}, np.zeros((0, 2, 3))
+        return {}, np.zeros((0, 2, 2))
     weight = np.array([counts[p] for p in patterns], float)
     code = np.array([[(GOOD + BAD + ABSTAIN).index(c) for c in p] for p in patterns])
-    one_hot = np.eye(3)[code]
-    share = (one_hot[:, :, 0].sum(1) + 1) / (one_hot[:, :, :2].sum((1, 2)) + 2)
+    one_hot = np.eye(3)[code][:, :, :2]  # to abstain says nothing
+    share = (one_hot[:, :, 0].sum(1) + 1) / (one_hot.sum((1, 2)) + 2)
     good = np.clip(share - 0.6 * one_hot[:, :, 1].max(1), 0.02, 0.98)  # to start with, any bad vote weighs a lot
     for _ in range(rounds):
         both = np.stack([1 - good, good]) * weight
@@ -122,7 +122,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, float]]) -> np.ndarray:
     x[:, -1] = 1
     y = np.array([r[2] for r in rows], np.float32)
     w, before = np.zeros(BINS + 1, np.float32), np.zeros(BINS + 1, np.float32)
-    rate = 4 / max(1.0, float((x**2).sum(1).max(initial=1.0)))
+    rate = 4 / max(1.0, float(np.einsum("ij,ij->i", x, x).max(initial=1.0)))
     for t in range(1, STEPS + 1):
         ahead = w + (t - 1) / (t + 2) * (w - before)
         p = 1 / (1 + np.exp(-np.clip(x @ ahead, -30, 30)))
