@@ -20,7 +20,7 @@ comment AS (SELECT 1000000000 + event_id AS id, (epoch_ns(ts) // 1000000) AS cre
   CASE WHEN event_id % 3 = 0 THEN event_id * 7 % (SELECT count(*) FROM orders) END AS reply_of_post, CASE WHEN event_id % 3 <> 0 THEN 999999999 + event_id END AS reply_of_comment FROM events),
 message AS (SELECT 'post' AS kind, id, creation_date, content, creator, place, forum, CAST(NULL AS BIGINT) AS reply_of_post, CAST(NULL AS BIGINT) AS reply_of_comment FROM post
   UNION ALL SELECT 'comment', id, creation_date, content, creator, place, NULL, reply_of_post, reply_of_comment FROM comment),
-pairs AS (SELECT lag(o_custkey) OVER w AS a, o_custkey AS b, epoch_ms(o_orderdate) AS ms FROM orders WHERE o_orderkey % 4 = 0 WINDOW w AS (ORDER BY o_orderdate, o_orderkey)),
+pairs AS (SELECT lag(o_custkey) OVER w AS a, o_custkey AS b, epoch_ms(o_orderdate) AS ms FROM orders WHERE o_orderstatus = 'O' WINDOW w AS (ORDER BY o_orderdate, o_orderkey)),
 knows AS (SELECT src, dst, min(ms) AS creation_date FROM (SELECT a AS src, b AS dst, ms FROM pairs UNION ALL SELECT b, a, ms FROM pairs) WHERE src IS NOT NULL AND dst IS NOT NULL AND src <> dst GROUP BY ALL),
 likes_post AS (SELECT user_id AS src, event_id % (SELECT count(*) FROM orders) AS dst, min((epoch_ns(ts) // 1000000)) AS creation_date FROM events WHERE event_type = 'click' GROUP BY ALL),
 likes_comment AS (SELECT user_id AS src, 1000000000 + event_id * 13 % (SELECT count(*) FROM events) AS dst, min((epoch_ns(ts) // 1000000)) AS creation_date FROM events WHERE event_type = 'view' GROUP BY ALL),
@@ -126,7 +126,7 @@ ORACLES = {
     "latency_histogram": """WITH b AS (SELECT unnest([100, 250, 500, 1000, 2000, 5000, 10000, 20000, 50000, 100000, 250000, 500000, 1000000, 5000000, 30000000, 9223372036854775807]) AS bound),
       v AS (SELECT CAST(floor(value * 1000) AS BIGINT) AS us FROM events), c AS (SELECT (SELECT min(bound) FROM b WHERE us <= bound) AS upper_bound_us, count(*) AS n FROM v GROUP BY 1)
       SELECT CAST(upper_bound_us AS BIGINT) AS upper_bound_us, n, CAST(sum(n) OVER (ORDER BY upper_bound_us) AS BIGINT) AS seen FROM c""",
-    "set_difference": _sql("SELECT 'missing' AS side, src, dst FROM (SELECT src, dst FROM knows WHERE src % 7 <> 0 EXCEPT SELECT src, dst FROM knows WHERE dst % 5 <> 0) UNION ALL SELECT 'extra', src, dst FROM (SELECT src, dst FROM knows WHERE dst % 5 <> 0 EXCEPT SELECT src, dst FROM knows WHERE src % 7 <> 0)"),
+    "set_difference": _sql(f"SELECT 'missing' AS side, src, dst FROM (SELECT src, dst FROM knows WHERE creation_date >= {START} EXCEPT SELECT src, dst FROM knows WHERE creation_date < {END}) UNION ALL SELECT 'extra', src, dst FROM (SELECT src, dst FROM knows WHERE creation_date < {END} EXCEPT SELECT src, dst FROM knows WHERE creation_date >= {START})"),
     "place_incoming_messages": _sql(f"SELECT m.id, m.creator FROM message m JOIN place ON place.id = m.place WHERE name = '{X}' AND type = 'country' AND creation_date >= {START} AND creation_date < {END}"),
     "xy_residents": _sql(f"SELECT person.id AS v FROM person JOIN place c ON c.id = person.place WHERE c.is_part_of IN (SELECT id FROM place WHERE type = 'country' AND name IN ('{X}', '{Y}'))"),
     "iu_apply_batch": _sql("SELECT 'person' AS frame, count(*) + 1 AS n FROM person UNION ALL SELECT 'post', count(*) + 1 FROM post UNION ALL SELECT 'comment', count(*) + 1 FROM comment UNION ALL SELECT 'forum', count(*) + 1 FROM forum UNION ALL SELECT 'knows', count(*) + 2 FROM knows UNION ALL SELECT 'has_interest', count(*) + 2 FROM has_interest"),
