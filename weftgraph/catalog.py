@@ -21,13 +21,19 @@ from .operators.paths import all_shortest_paths, bfs_levels, pair_weights, short
 from .oracles import CLASS, COUNTRY, DAYS, END, MAX_DATE, MIN_DATE, MONTH, NAME, START, X, Y, YEAR
 from .plans import complex_reads as ic, short_reads as short, updates
 from .session import shared_dir
-from .sources.star import load
+from .sources import star
 from .store.compaction import score
 from .store.edge_store import EdgeStore
 from .store.visibility import overlay, visible
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
+#: Graphs imported as tables, by the folder of the star tables they come from; others are projected as they are read.
+IMPORTED: dict[str, Graph] = {}
+
+
+def load(spark: SparkSession, sf: str) -> Graph:
+    return IMPORTED[sf] if sf in IMPORTED else star.load(spark, sf)
 
 
 def query(f: Query) -> Query:
