@@ -8,31 +8,36 @@ they form a block, and the least id of a block is what its previous and next sma
 
 To spread one suffix order over many machines:
 
-1. copies of a whole text are one text, that of the least id (the others go entirely, if long enough);
+1. texts are read once and written in compressed batches to the shared folder; later passes read a batch by file and
+   offset, so whole texts are never shuffled. Copies of a whole text are one text, that of the least id (the others go
+   entirely, if long enough);
 2. of each window of LENGTH bytes the *anchor* is its least hashed ``GRAM``-byte gram, so equal windows have equal anchors
-   and about every 14th position is an anchor. Anchors that occur in one text only are dropped: batches send each
-   distinct anchor once, packed, to its bucket, which answers with those seen in more than one text;
-3. the consecutive windows of one anchor are one short segment; equal segments are one with the least id. Segments
-   are dealt by anchor and every task builds the suffix order of its segments, block by block;
-4. an anchor with more than ``HOT`` different segments (a passage in a third of all documents has as many edges) is not
-   dealt to one task: its windows are grouped by value instead, with map-side combine;
-5. what is found goes back to the documents by segment, and each document merges its spans.
+   and about every 14th position is an anchor. A batch sends each distinct anchor once with its number of texts, packed,
+   to the anchor's bucket, which answers with those that are in more than one text;
+3. the consecutive windows of one shared anchor are one short segment. Batches send them, packed, to the anchor's bucket,
+   which makes equal ones one with the least id, builds the suffix order of its segments and answers with spans;
+4. an anchor in more than ``HOT`` texts (a passage in a third of all documents has as many edges) is not dealt to one
+   task: its windows are grouped by value instead, with map-side combine;
+5. each batch merges the spans of its texts.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import shuffle_parts, staged, table, unpacked
+from .common import shared_dir, shuffle_parts, staged, table, uri_filesystem
 from .near_dedup import mixed
 
-LENGTH, GRAM, HOT, PILE, BUCKET_BYTES = 50, 24, 5000, 20_000, 64 << 20
+LENGTH, GRAM, HOT, BUCKET_BYTES = 50, 24, 5000, 32 << 20
+BATCH_BYTES, BATCH_DOCS = 4 << 20, 4096
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
@@ -93,161 +98,278 @@ def first_sources(pieces: list[bytes], owner: np.ndarray, length: int = LENGTH)
     return np.split(least[block], np.cumsum(counts)[:-1])
 
 
-def _ids(batch: pa.RecordBatch, name: str) -> list:
+def reduced(anchor: np.ndarray) -> np.ndarray:
+    """Anchors as 40 bits; a bucket of bounded size has few collisions, and those only cost work."""
+    return mixed(anchor) >> np.uint64(24)
+
+
+def _five(a: np.ndarray) -> bytes:
+    return a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def _unfive(b: bytes) -> np.ndarray:
+    out = np.zeros((len(b) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(b, np.uint8).reshape(-1, 5)
+    return out.view("<u8").ravel()
+
+
+def _column(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 
 
-def _pack(a: np.ndarray) -> bytes:
-    return a.astype("<u8").tobytes()
+# -- batches of texts in the shared folder -----------------------------------------------------------------------------
 
 
-def _pass_anchors(n: int, length: int):
-    """Rows (bucket, docs, hashes, counts, anchors): each distinct anchor of a batch once, with bucket -1 for those known to be shared."""
+def _write_batches(folder: str, more: bool):
+    """Rows (doc_id, text[, more]) to (file, offset, size, pos, at, n_bytes, doc_id, own[, more])."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [np.unique(segments((t or "").encode(), length)[0]) for t in _ids(batch, "text")]
-            owner = np.repeat(np.arange(len(found)), [len(f) for f in found])
-            if not len(owner):
-                continue
-            docs, keys = (np.array(_ids(batch, c), np.int64) for c in ("doc_id", "h"))
-            a = np.concatenate(found)
-            order = np.argsort(a, kind="stable")
-            a, owner = a[order], owner[order]
-            first = np.concatenate(([True], a[1:] != a[:-1]))
-            several = np.zeros(first.sum(), bool)
-            group = np.cumsum(first) - 1
-            several[group[~first]] = True
-            rows = []
-
-            def emit(bucket: int, mask: np.ndarray) -> None:
-                o, x = owner[mask], a[mask]
-                by = np.argsort(o, kind="stable")
-                o, x = o[by], x[by]
-                u, counts = np.unique(o, return_counts=True)
-                rows.append((bucket, docs[u].tobytes(), keys[u].tobytes(), counts.astype("<u4").tobytes(), _pack(x)))
-
-            shared = several[group]
-            if shared.any():
-                emit(-1, shared)
-            send = np.flatnonzero(first)  # also of the shared ones, once, for the other batches
-            bucket = ((mixed(a[send]) >> np.uint64(20)) % np.uint64(n)).astype(np.int64)
-            for b in np.unique(bucket):
-                mask = np.zeros(len(a), bool)
-                mask[send[bucket == b]] = True
-                emit(int(b), mask)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int32(), *[pa.binary()] * 4])], names=["bucket", "docs", "keys", "counts", "anchors"])
+        fs, top = uri_filesystem(folder)
+        name, out, offset = f"{uuid.uuid4().hex}.zst", None, 0  # no other attempt has the name
+        press = zstandard.ZstdCompressor(level=3)
+        try:
+            for batch in batches:
+                texts, start = batch.column(1).to_pylist(), 0
+                while start < len(texts):
+                    stop, total, data = start, 0, []
+                    while stop < len(texts) and stop - start < BATCH_DOCS and total < BATCH_BYTES:
+                        data.append((texts[stop] or "").encode())
+                        total += len(data[-1])
+                        stop += 1
+                    if out is None:
+                        fs.create_dir(top, recursive=True)
+                        out = fs.open_output_stream(f"{top}/{name}", compression=None)
+                    blob = press.compress(b"".join(data))
+                    out.write(blob)
+                    k, sizes = stop - start, np.array([len(x) for x in data], np.int64)
+                    at = np.cumsum(sizes) - sizes
+                    columns = [
+                        pa.array([name] * k), pa.array([offset] * k, pa.int64()), pa.array([len(blob)] * k, pa.int64()), pa.array(range(k), pa.int32()), pa.array(at), pa.array([None if texts[start + i] is None else int(n) for i, n in enumerate(sizes)], pa.int64()),
+                        batch.column(0).slice(start, k), pa.array([hashlib.sha256(x).digest() for x in data], pa.binary()),
+                    ]
+                    names = ["file", "offset", "size", "pos", "at", "n_bytes", "doc_id", "own"]
+                    if more:
+                        columns, names = [*columns, batch.column(2).slice(start, k)], [*names, "more"]
+                    yield pa.RecordBatch.from_arrays(columns, names=names)
+                    offset += len(blob)
+                    start = stop
+        finally:
+            if out is not None:
+                out.close()
 
     return run
 
 
-_PACKED = "bucket int, docs binary, keys binary, counts binary, anchors binary"
+class _Texts:
+    """Reads batches back by file, offset and size."""
+
+    def __init__(self, folder: str):
+        self._fs, self._top = uri_filesystem(folder)
+        self._press = zstandard.ZstdDecompressor()
+
+    def read(self, file: str, offset: int, size: int) -> bytes:
+        with self._fs.open_input_file(f"{self._top}/{file}") as f:
+            return self._press.decompress(f.read_at(size, offset))
 
 
-def _flat(row: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    counts = np.frombuffer(row[2], "<u4")
-    return np.repeat(np.frombuffer(row[0], "<i8"), counts), np.repeat(np.frombuffer(row[1], "<i8"), counts), np.frombuffer(row[3], "<u8")
+def _live(docs: list[dict]) -> list[dict]:
+    return [d for d in docs if d["live"]]
 
 
-def _answers(docs: np.ndarray, keys: np.ndarray, a: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, h, anchors)."""
-    order = np.lexsort((keys, docs))
-    docs, keys, a = docs[order], keys[order], a[order]
-    starts = np.flatnonzero(np.concatenate(([True], (docs[1:] != docs[:-1]) | (keys[1:] != keys[:-1])))) if len(a) else np.empty(0, np.int64)
-    blobs = [x.astype("<u8").tobytes() for x in np.split(a, starts[1:])] if len(a) else []
-    yield pa.RecordBatch.from_arrays([pa.array(docs[starts]), pa.array(keys[starts]), pa.array(blobs, pa.binary())], names=["doc_id", "h", "anchors"])
+# -- shared anchors ----------------------------------------------------------------------------------------------------
 
+_KEYS = "bucket int, file string, offset long, keys binary, counts binary"
+
+
+def _send_anchors(folder: str, n: int, length: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts = _Texts(folder)
+        for batch in batches:
+            for file, offset, size, docs in zip(*(_column(batch, c) for c in ("file", "offset", "size", "docs"))):
+                if not (docs := _live(docs)):
+                    continue
+                data, found = texts.read(file, offset, size), []
+                for d in docs:
+                    found.append(np.unique(reduced(segments(data[d["at"] : d["at"] + d["n_bytes"]], length)[0])))
+                keys, counts = np.unique(np.concatenate(found), return_counts=True)
+                bucket = (keys % np.uint64(n)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                keys, counts, bucket = keys[order], np.minimum(counts[order], 65535).astype("<u2"), bucket[order]
+                edges = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]))
+                rows = [(int(bucket[a]), file, offset, _five(keys[a:b]), counts[a:b].tobytes()) for a, b in zip(edges[:-1], edges[1:])]
+                types = [pa.int32(), pa.string(), pa.int64(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["bucket", "file", "offset", "keys", "counts"])
 
-def _shared_in_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of the rows of each bucket (sorted by it) the anchors that came from more than one batch."""
-    held: list = []
-    bucket = None
+    return run
 
-    def settle() -> Iterator[pa.RecordBatch]:
-        docs, keys, a = (np.concatenate(x) for x in zip(*map(_flat, held)))
-        order = np.argsort(a, kind="stable")
-        sorted_ = a[order]
-        same = sorted_[1:] == sorted_[:-1]
-        many = np.zeros(len(a), bool)
-        many[1:] |= same
-        many[:-1] |= same
-        pick = order[many]
-        yield from _answers(docs[pick], keys[pick], a[pick])
 
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """The rows of each bucket, which come sorted by it."""
+    held: list[tuple] = []
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns)):
-            if held and row[0] != bucket:
-                yield from settle()
+            if held and held[0][0] != row[0]:
+                yield held
                 held = []
-            bucket = row[0]
-            held.append(row[1:])
+            held.append(row)
     if held:
-        yield from settle()
+        yield held
 
 
-def _known_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns)):
-            yield from _answers(*_flat(row[1:]))
+def _answer_anchors(limit: int):
+    """(file, offset, shared, hot): of a batch's anchors those in several texts, and those in more than ``limit``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _by_bucket(batches):
+            parts = [_unfive(r[3]) for r in held]
+            source = np.repeat(np.arange(len(held)), [len(p) for p in parts])
+            keys, counts = np.concatenate(parts), np.concatenate([np.frombuffer(r[4], "<u2") for r in held])
+            order = np.argsort(keys, kind="stable")
+            starts = np.flatnonzero(np.concatenate(([True], keys[order][1:] != keys[order][:-1])))
+            total = np.add.reduceat(counts[order].astype(np.int64), starts)
+            total = np.repeat(total, np.diff(np.concatenate((starts, [len(keys)]))))
+            rows: dict[int, list[bytes]] = {}
+            for k, mask in enumerate(((total > 1) & (total <= limit), total > limit)):
+                chosen = order[mask]
+                chosen = chosen[np.argsort(source[chosen], kind="stable")]
+                for i, x in zip(*_split(source[chosen], keys[chosen])):
+                    rows.setdefault(i, [b"", b""])[k] = _five(x)
+            if rows:
+                items = [(held[i][1], held[i][2], *x) for i, x in rows.items()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*items), (pa.string(), pa.int64(), pa.binary(), pa.binary()))], names=["file", "offset", "shared", "hot"])
 
+    return run
 
-def _cut_segments(length: int):
-    """Rows (doc_id, h, packed, blobs) to (doc_id, h, anchor, start, k1, k2, segment) of the anchors named in blobs."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "h", "anchor", "start", "k1", "k2", "segment"]
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-        for batch in batches:
-            rows = []
-            for doc_id, h, packed, blobs in zip(*(_ids(batch, c) for c in ("doc_id", "h", "packed", "blobs"))):
-                text = unpacked(packed).encode()
-                wanted = np.frombuffer(b"".join(blobs), "<u8")
+
+def _split(by: np.ndarray, *values: np.ndarray) -> tuple:
+    """Runs of equal ``by``: its values, and the pieces of each array."""
+    if not len(by):
+        return ([], *([] for _ in values))
+    edges = np.flatnonzero(by[1:] != by[:-1]) + 1
+    return (by[np.concatenate(([0], edges))].tolist(), *(np.split(v, edges) for v in values))
+
+
+# -- segments and their suffix order -----------------------------------------------------------------------------------
+
+
+def _chosen(folder: str, length: int, which: str):
+    """For each batch: file, offset, its live texts and, of each, the segments whose anchors are named in ``which``."""
+    def run(batch: pa.RecordBatch, texts: _Texts) -> Iterator[tuple]:
+        for file, offset, size, docs, named in zip(*(_column(batch, c) for c in ("file", "offset", "size", "docs", which))):
+            wanted = np.unique(np.concatenate([_unfive(x) for x in named])) if any(named) else np.empty(0, np.uint64)
+            if not len(wanted):
+                continue
+            data, out = texts.read(file, offset, size), []
+            for d in _live(docs):
+                text = data[d["at"] : d["at"] + d["n_bytes"]]
                 anchor, starts, ends = segments(text, length)
-                for i in np.flatnonzero(np.isin(anchor, wanted)).tolist():
-                    part = text[starts[i] : ends[i] + length - 1]
-                    digest = hashlib.blake2b(part, digest_size=16).digest()
-                    rows.append((doc_id, h, int(anchor[i].view(np.int64)), int(starts[i]), int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True), part))
-                if len(rows) >= 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
-                    rows = []
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+                keys = reduced(anchor)
+                at = np.minimum(np.searchsorted(wanted, keys), len(wanted) - 1)
+                mask = wanted[at] == keys
+                if mask.any():
+                    out.append((d, text, keys[mask], starts[mask], ends[mask]))
+            yield file, offset, out
 
     return run
 
 
-def _lpf(length: int):
-    """Rows (anchor, k1, k2, segment, first, last) sorted by anchor to (k1, k2, firsts) where something may go."""
-    def settle(held: list) -> pa.RecordBatch:
-        firsts = first_sources([r[3] for r in held], np.array([r[4] for r in held], np.int64), length)
-        rows = [(r[1], r[2], f) for r, f in zip(held, firsts) if (f < r[5]).any()]
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.list_(pa.int64())))], names=["k1", "k2", "firsts"])
+_PAYLOAD = "bucket int, file string, offset long, payload binary"
+
+
+def _send_segments(folder: str, n: int, length: int):
+    """Segments by bucket, packed: ids and positions of their texts, first windows, lengths, bytes."""
+    choose = _chosen(folder, length, "shared")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list = []
+        texts, press = _Texts(folder), zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if len(held) >= PILE and held[-1][0] != row[0]:
-                    yield settle(held)
-                    held = []
-                held.append(row)
-        if held:
-            yield settle(held)
+            for file, offset, found in choose(batch, texts):
+                by: dict[int, list] = {}
+                for d, text, keys, starts, ends in found:
+                    for b, a, e in zip((keys % np.uint64(n)).tolist(), starts.tolist(), ends.tolist()):
+                        by.setdefault(b, []).append((d["doc_id"], d["pos"], a, text[a : e + length - 1]))
+                rows = []
+                for b, items in by.items():
+                    ids, pos, start, parts = zip(*items)
+                    raw = len(items).to_bytes(4, "little") + np.array(ids, "<i8").tobytes() + np.array([pos, start, [len(x) for x in parts]], "<u4").tobytes() + b"".join(parts)
+                    rows.append((b, file, offset, press.compress(raw)))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.string(), pa.int64(), pa.binary()))], names=["bucket", "file", "offset", "payload"])
 
     return run
 
 
-def _windows(length: int):
-    """Rows (k1, k2, segment, first) to one row for each window, named by 128 bits of its bytes."""
+def _unpack_segments(payload: bytes, press) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    raw = press.decompress(payload)
+    n = int.from_bytes(raw[:4], "little")
+    ids = np.frombuffer(raw, "<i8", n, 4)
+    pos, start, sizes = np.frombuffer(raw, "<u4", 3 * n, 4 + 8 * n).reshape(3, n)
+    at = 4 + 20 * n
+    parts = []
+    for k in sizes.tolist():
+        parts.append(raw[at : at + k])
+        at += k
+    return ids, pos, start, parts
+
+
+def _lpf(length: int):
+    """(file, offset, spans): of a batch the (pos, start, end) that go, three 32-bit numbers each."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["k1", "k2", "nth", "w1", "w2", "first"]
+        press = zstandard.ZstdDecompressor()
+        for held in _by_bucket(batches):
+            number: dict[bytes, int] = {}
+            entries = []
+            for row in held:
+                ids, pos, start, parts = _unpack_segments(row[3], press)
+                entries.append((ids, pos, start, np.array([number.setdefault(p, len(number)) for p in parts], np.int64)))
+            pieces = list(number)
+            owner = np.full(len(pieces), np.iinfo(np.int64).max)
+            for ids, _, _, piece in entries:
+                np.minimum.at(owner, piece, ids)
+            firsts = first_sources(pieces, owner, length)
+            low, high = (np.array([f(x) for x in firsts]) for f in (np.min, np.max))
+            rows = []
+            for row, (ids, pos, start, piece) in zip(held, entries):
+                out = []
+                every = high[piece] < ids  # all windows of the segment
+                if every.any():
+                    sizes = np.array([len(pieces[k]) for k in piece[every].tolist()])
+                    out.append(np.stack([pos[every], start[every], start[every] + sizes], 1))
+                for k in np.flatnonzero(~every & (low[piece] < ids)).tolist():
+                    hit = np.flatnonzero(firsts[piece[k]] < ids[k])
+                    edge = np.flatnonzero(np.diff(hit) > 1)
+                    a, b = hit[np.concatenate(([0], edge + 1))], hit[np.concatenate((edge, [len(hit) - 1]))]
+                    out.append(np.stack([np.full(len(a), pos[k]), start[k] + a, start[k] + b + length], 1))
+                if out:
+                    rows.append((row[1], row[2], np.concatenate(out).astype("<u4").tobytes()))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.binary()))], names=["file", "offset", "spans"])
+
+    return run
+
+
+_WINDOWS = "file string, offset long, pos int, at long, doc_id long, w1 long, w2 long"
+
+
+def _windows(folder: str, length: int):
+    """The windows of hot anchors, named by 128 bits of their bytes."""
+    choose = _chosen(folder, length, "hot")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts = _Texts(folder)
         for batch in batches:
-            for k1, k2, part, first in zip(*(c.to_pylist() for c in batch.columns)):
-                n = len(part) - length + 1
-                w = np.frombuffer(b"".join(hashlib.blake2b(part[i : i + length], digest_size=16).digest() for i in range(n)), "<i8").reshape(n, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (np.full(n, k1), np.full(n, k2), np.arange(n), w[:, 0], w[:, 1], np.full(n, first))], names=names)
+            for file, offset, found in choose(batch, texts):
+                for d, text, _, starts, ends in found:
+                    at = np.concatenate([np.arange(a, e) for a, e in zip(starts.tolist(), ends.tolist())])
+                    w = np.frombuffer(b"".join(hashlib.blake2b(text[i : i + length], digest_size=16).digest() for i in at.tolist()), "<i8").reshape(-1, 2)
+                    k = len(at)
+                    columns = [pa.array([file] * k), pa.array([offset] * k, pa.int64()), pa.array([d["pos"]] * k, pa.int32()), pa.array(at, pa.int64()), pa.array([d["doc_id"]] * k, pa.int64()), pa.array(w[:, 0]), pa.array(w[:, 1])]
+                    yield pa.RecordBatch.from_arrays(columns, names=["file", "offset", "pos", "at", "doc_id", "w1", "w2"])
 
     return run
 
 
+# -- the texts that are left -------------------------------------------------------------------------------------------
+
+
 def spans(places: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Overlapping or touching (start, end) merged, in order."""
     out: list[tuple[int, int]] = []
@@ -268,111 +390,100 @@ def keep_bytes(text: bytes, gone: list[tuple[int, int]]) -> bytes:
     return b"".join(out)
 
 
-def _finish(length: int):
-    """Rows (doc_id, h, packed, found) with found = array of (start, firsts): the text with its spans."""
+def _finish(folder: str, length: int, emit):
+    """Calls ``emit(document, text, spans, rest)`` for all documents of each batch and yields what it makes of a list of those."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts = _Texts(folder)
         for batch in batches:
-            out = []
-            for doc_id, h, packed, found in zip(*(_ids(batch, c) for c in ("doc_id", "h", "packed", "found"))):
-                text, places = unpacked(packed).encode(), []
-                for f in found or []:
-                    hit = np.flatnonzero(np.array(f["firsts"], np.int64) < doc_id)
-                    if len(hit):
-                        edge = np.flatnonzero(np.diff(hit) > 1)
-                        for a, b in zip(hit[np.concatenate(([0], edge + 1))].tolist(), hit[np.concatenate((edge, [len(hit) - 1]))].tolist()):
-                            places.append((f["start"] + a, f["start"] + b + length))
-                gone = spans(places)
-                out.append((doc_id, h, [{"start": a, "end": b} for a, b in gone], keep_bytes(text, gone)))
-            if out:
-                kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), kind, pa.binary()))], names=["doc_id", "h", "spans", "kept"])
+            for file, offset, size, docs, found, hot in zip(*(_column(batch, c) for c in ("file", "offset", "size", "docs", "spans", "hits"))):
+                places: dict[int, list] = {}
+                for blob in found or []:
+                    for pos, a, b in np.frombuffer(blob, "<u4").reshape(-1, 3).tolist():
+                        places.setdefault(pos, []).append((a, b))
+                for x in hot or []:
+                    places.setdefault(x["pos"], []).append((x["at"], x["at"] + length))
+                data, out = texts.read(file, offset, size), []
+                for d in docs:
+                    n = d["n_bytes"] or 0
+                    text = data[d["at"] : d["at"] + n]
+                    gone = [(0, n)] if d["copy"] and n >= length else spans(places.get(d["pos"], []))
+                    out.append((d, text, gone, keep_bytes(text, gone) if gone else text))
+                yield emit(out)
 
     return run
 
 
-def _packed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    press = zstandard.ZstdCompressor(level=3)
-    for batch in batches:
-        texts = [press.compress((t or "").encode()) for t in _ids(batch, "text")]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(texts, pa.binary())], names=["doc_id", "h", "packed"])
-
-
-def removed_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
-    """``(ids, changed)``: ids has ``doc_id, h, own, n_bytes, copy`` of every row, changed ``doc_id, h, spans, kept`` of texts that lose bytes.
-
-    A text is named by (doc_id, h), ``h`` being 64 bits of its hash. Copies (an equal text has a smaller id) aren't in changed.
-    """
-    spark = docs.sparkSession
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
-    ids = staged(d.select("doc_id", "h", F.unhex(F.md5("text")).alias("md5"), F.unhex(F.sha2("text", 256)).alias("own"), F.octet_length("text").cast("long").alias("n_bytes")), "ids")
-    classes = ids.where("doc_id is not null").groupBy("md5").agg(F.min("doc_id").alias("rep"))
-    classes = staged(classes, "classes")
-    ids = ids.join(classes, "md5", "left").select("doc_id", "h", "own", "n_bytes", F.coalesce(F.col("rep") < F.col("doc_id"), F.lit(False)).alias("copy"))
-    ids = staged(ids, "ids")
-    long_bytes = ids.where(f"n_bytes >= {length} and not copy and doc_id is not null")
-    total = long_bytes.agg(F.sum("n_bytes")).first()[0] or 0
-    n = max(shuffle_parts(spark), int(total // BUCKET_BYTES) + 1)
-    d = d.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length))
-    sent = staged(d.mapInArrow(_pass_anchors(n, length), _PACKED), "anchors")
-    answers = sent.where("bucket >= 0").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared_in_bucket, "doc_id long, h long, anchors binary")
-    answers = answers.union(sent.where("bucket < 0").mapInArrow(_known_shared, "doc_id long, h long, anchors binary"))
-    wanted = answers.groupBy("doc_id", "h").agg(F.collect_list("anchors").alias("blobs"))  # of one text
-    wanted = wanted.join(long_bytes.select("doc_id", "h").distinct(), ["doc_id", "h"], "left_semi")
-    packed = d.mapInArrow(_packed_rows, "doc_id long, h long, packed binary")
-    schema = "doc_id long, h long, anchor long, start long, k1 long, k2 long, segment binary"
-    cut = staged(packed.hint("merge").join(wanted, ["doc_id", "h"]).mapInArrow(_cut_segments(length), schema), "segments")
-    distinct = cut.groupBy("anchor", "k1", "k2").agg(F.first("segment").alias("segment"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    distinct = staged(distinct, "distinct")
-    sizes = staged(distinct.groupBy("anchor").agg(F.count("*").alias("size"), F.min("first").alias("low"), F.max("last").alias("high")).where("low < high"), "sizes")
-    several = distinct.join(sizes, "anchor").select("anchor", "k1", "k2", "segment", "first", "last", "size")
-    usual = several.where(F.col("size") <= HOT).drop("size").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_lpf(length), "k1 long, k2 long, firsts array<long>")
-    found = usual
-    if sizes.where(F.col("size") > HOT).limit(1).count():
-        one = staged(several.where(F.col("size") > HOT).select("k1", "k2", "segment", "first").mapInArrow(_windows(length), "k1 long, k2 long, nth long, w1 long, w2 long, first long"), "windows")
-        least = staged(one.groupBy("w1", "w2").agg(F.min("first").alias("least")), "least")
-        back = one.select("k1", "k2", "nth", "w1", "w2").join(least, ["w1", "w2"]).groupBy("k1", "k2").agg(F.transform(F.sort_array(F.collect_list(F.struct("nth", "least"))), lambda x: x["least"]).alias("firsts"))
-        found = found.union(back)
-    found = staged(found, "found")
-    mine = cut.select("doc_id", "h", "start", "k1", "k2").join(found, ["k1", "k2"])
-    mine = mine.where(F.array_min("firsts") < F.col("doc_id")).groupBy("doc_id", "h").agg(F.collect_list(F.struct("start", "firsts")).alias("found"))  # of one text
-    changed = packed.hint("merge").join(mine, ["doc_id", "h"]).mapInArrow(_finish(length), "doc_id long, h long, spans array<struct<start:long,end:long>>, kept binary")
-    return ids, changed
-
-
-def dedup_report(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def _passes(docs: DataFrame, length: int, hot: int, more: list[str]) -> tuple[DataFrame, str]:
+    """``(work, folder)``: a row for each batch with its documents, the spans of its texts and the hits of hot windows."""
+    spark, folder = docs.sparkSession, shared_dir(docs.sparkSession, "texts")
+    parts = shuffle_parts(spark)
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *([F.struct(*[F.col(f"`{c}`") for c in more]).alias("more")] if more else []))
+    fields = [("file", T.StringType()), ("offset", T.LongType()), ("size", T.LongType()), ("pos", T.IntegerType()), ("at", T.LongType()), ("n_bytes", T.LongType()), ("doc_id", T.LongType()), ("own", T.BinaryType())]
+    fields += [("more", d.schema["more"].dataType)] if more else []
+    index = staged(d.mapInArrow(_write_batches(folder, bool(more)), T.StructType([T.StructField(*f) for f in fields])), "texts-index")
+    classes = staged(index.where("doc_id is not null").groupBy("own").agg(F.min("doc_id").alias("rep")), "classes")
+    copies = index.select("file", "offset", "pos", "own", "doc_id").join(classes, "own").where("rep < doc_id").select("file", "offset", "pos")
+    copies = copies.groupBy("file", "offset").agg(F.collect_set("pos").alias("copies"))  # of one batch
+    columns = ["pos", "at", "n_bytes", "doc_id", *(["more"] if more else [])]
+    batches = index.groupBy("file", "offset", "size").agg(F.collect_list(F.struct(*columns)).alias("docs"))  # of one batch
+    work = batches.join(copies, ["file", "offset"], "left").withColumn("copies", F.coalesce("copies", F.array().cast("array<int>")))
+    work = work.withColumn("docs", F.transform("docs", lambda x: F.struct(*[x[c].alias(c) for c in columns], F.array_contains("copies", x["pos"]).alias("copy"), (~F.array_contains("copies", x["pos"]) & x["doc_id"].isNotNull() & (F.coalesce(x["n_bytes"], F.lit(0)) >= length)).alias("live"))))
+    work = staged(work.drop("copies"), "work")
+    count, total = work.agg(F.count("*"), F.sum(F.aggregate("docs", F.lit(0).cast("long"), lambda s, x: s + F.when(x["live"], x["n_bytes"]).otherwise(0)))).first()
+    n, tasks = max(parts, int((total or 0) // BUCKET_BYTES) + 1), max(1, min(count, max(parts, count // 4)))
+    lean = work.select("file", "offset", "size", F.transform("docs", lambda x: F.struct(*[x[c].alias(c) for c in ("pos", "at", "n_bytes", "doc_id", "live")])).alias("docs"))
+    sent = lean.repartition(tasks).mapInArrow(_send_anchors(folder, n, length), _KEYS)
+    answers = sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_answer_anchors(hot), "file string, offset long, shared binary, hot binary")
+    answers = staged(answers.groupBy("file", "offset").agg(F.collect_list("shared").alias("shared"), F.collect_list("hot").alias("hot")), "answers")  # of one batch
+    asked = lean.join(answers, ["file", "offset"])
+    dealt = asked.repartition(tasks).mapInArrow(_send_segments(folder, 4 * n, length), _PAYLOAD)
+    found = dealt.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_lpf(length), "file string, offset long, spans binary")
+    found = staged(found, "spans").groupBy("file", "offset").agg(F.collect_list("spans").alias("spans"))  # of one batch
+    hits = None
+    if answers.where(F.exists("hot", lambda x: F.octet_length(x) > 0)).limit(1).count():
+        one = staged(asked.repartition(tasks).mapInArrow(_windows(folder, length), _WINDOWS), "windows")
+        least = staged(one.groupBy("w1", "w2").agg(F.min("doc_id").alias("least")), "least")
+        hits = one.hint("merge").join(least, ["w1", "w2"]).where("least < doc_id").groupBy("file", "offset").agg(F.collect_list(F.struct("pos", "at")).alias("hits"))  # of one batch
+    out = work.join(found, ["file", "offset"], "left")
+    out = out.join(hits, ["file", "offset"], "left") if hits is not None else out.withColumn("hits", F.lit(None).cast("array<struct<pos:int,at:bigint>>"))
+    return out.repartition(tasks), folder
+
+
+_REPORT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+
+
+def _report_rows(out: list) -> pa.RecordBatch:
+    rows = [(d["doc_id"], len(text), sum(b - a for a, b in gone), len(gone), hashlib.sha256(rest).hexdigest()) for d, text, gone, rest in out]
+    types = [pa.int64()] * 4 + [pa.string()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=[x.split()[0] for x in _REPORT.split(", ")])
+
+
+def dedup_report(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256``, one row for each document.
 
     Null texts count as empty, texts shorter than ``length`` keep all, a document without id is never matched, repeated
     rows each get a row and take nothing from each other, other columns are not read.
     """
-    ids, changed = removed_spans(docs, length)
-    less = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
-    changed = changed.select("doc_id", "h", less.alias("less"), F.size("spans").cast("long").alias("many"), F.sha2("kept", 256).alias("sha")).dropDuplicates(["doc_id", "h"])
-    gone = F.col("copy") & (F.col("n_bytes") >= length)
-    out = ids.join(changed, ["doc_id", "h"], "left")
-    return out.select(
-        "doc_id", "n_bytes", F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("less", F.lit(0))).alias("n_removed"),
-        F.when(gone, 1).otherwise(F.coalesce("many", F.lit(0))).cast("long").alias("n_spans"),
-        F.when(gone, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.coalesce("sha", F.lower(F.hex("own")))).alias("kept_sha256"),
-    )
-
-
-def cut_documents(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    work, folder = _passes(docs, length, hot, [])
+    return work.mapInArrow(_finish(folder, length, _report_rows), _REPORT)
+
+
+def cut_documents(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """``docs`` with all its columns and the spans cut out of ``text``; rows that lose their whole text go.
 
-    A cut can fall inside a character; what is left of it goes too. A null text stays null.
+    A cut can fall inside a character; what is left of it goes too. A null text stays null, an empty one empty.
     """
-    ids, changed = removed_spans(docs, length)
-    gone = ids.where(f"copy and n_bytes >= {length}").select(F.col("doc_id").alias("gone id"), F.col("h").alias("gone h")).distinct()
-    changed = changed.dropDuplicates(["doc_id", "h"]).select(F.col("doc_id").alias("cut id"), F.col("h").alias("cut h"), F.struct(F.col("kept").alias("kept")).alias("cut"))
-    h = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    out = docs.withColumn("row h", h)
-    mine = F.col("doc_id").cast("long")
-    out = out.join(gone, (mine == F.col("gone id")) & (F.col("row h") == F.col("gone h")), "left_anti")
-    out = out.join(changed, (mine == F.col("cut id")) & (F.col("row h") == F.col("cut h")), "left")
-    new = F.regexp_replace(F.make_valid_utf8(F.col("cut.kept").cast("string")), "\ufffd", "")
-    out = out.withColumn("text", F.when(F.col("cut").isNull(), F.col("text")).otherwise(new))
-    return out.where(F.col("cut").isNull() | (F.col("text") != "")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    more = [c for c in docs.columns if c != "text"]
+    work, folder = _passes(docs, length, hot, more)
+    kind = T.StructType([docs.schema[c] for c in more])
+    arrow = to_arrow_type(kind)
+
+    def rows(out: list) -> pa.RecordBatch:
+        kept = [(d["more"], None if d["n_bytes"] is None else rest.decode(errors="ignore")) for d, _, gone, rest in out if not gone or rest.decode(errors="ignore")]
+        return pa.RecordBatch.from_arrays([pa.array([m for m, _ in kept], arrow), pa.array([t for _, t in kept], pa.string())], names=["more", "text"])
+
+    cut = work.mapInArrow(_finish(folder, length, rows), T.StructType([T.StructField("more", kind), T.StructField("text", T.StringType())]))
+    return cut.select(*[F.col("text") if c == "text" else F.col(f"more.`{c}`") for c in docs.columns])
 
 
 def op10_lpf_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
