@@ -105,7 +105,8 @@ def top_k(vectors: DataFrame, is_query: F.Column, k: int = K) -> DataFrame:
         if sum(math.comb(w, radius) for _, w in parts) > max(total, 1) or radius > max(w for _, w in parts):
             found, covered = _scan(codes, still, k + 1).join(codes.select("code", "n"), "code").select("q", "code", "n", "least", "distance"), BITS
         else:
-            found = _probes(still, parts, radius).join(index, ["segment", "value"]).select("q", "code", "n", "least").distinct()
+            found = _probes(still, parts, radius).hint("merge").join(index, ["segment", "value"])  # far more rows than their few queries let Spark expect
+            found = found.select("q", "code", "n", "least").distinct()
             found = found.withColumn("distance", F.bit_count(F.col("q").bitwiseXOR(F.col("code"))))
             covered = len(parts) * (radius + 1) - 1
             if best is not None:
