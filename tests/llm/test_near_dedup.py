@@ -32,9 +32,10 @@ def corpus(rng):
     return docs
 
 
-@pytest.mark.parametrize("leaf", [32, 4])
-def test_against_brute_force(spark, monkeypatch, leaf):
+@pytest.mark.parametrize(("leaf", "few"), [(512, 32), (8, 4), (3, 0)])
+def test_against_brute_force(spark, monkeypatch, leaf, few):
     monkeypatch.setattr(near_dedup, "LEAF", leaf)  # small leaves send more nodes down the trees
+    monkeypatch.setattr(near_dedup, "FEW", few)
     docs = corpus(random.Random(leaf))
     df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").select("*", F.lit(1).alias("n"), F.lit("x").alias("node"), F.lit(2).alias("rep")).repartition(5)
     got = {r["doc_id"]: r for r in near_duplicates(df).collect()}

@@ -11,9 +11,10 @@ At every level
 
 * nodes of one document, or whose documents are all linked already, end;
 * nodes of at most ``LEAF`` documents are compared exhaustively (pairs already linked are left out);
-* larger nodes compare every document with one pivot (a star, linear in the node) and branch.
+* larger nodes of which all but ``FEW`` documents are linked compare those few with all of the node;
+* other nodes compare every document with one pivot (a star, linear in the node) and branch.
 
-So a group of thousands of near copies is linked by stars and then ends, and a passage shared by a third of all
+So a group of thousands of near copies is linked by stars, its few strays are compared with all, and a passage shared by a third of all
 documents falls apart within a few levels. What is still open after ``DEPTH`` levels is compared exactly in a join.
 Candidates are first checked by set sizes (exact) and by 64 minwise tokens of 16 bits (threshold four standard
 deviations below 0.75); the rest are confirmed on full shingle sets computed from whole texts.
@@ -30,7 +31,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import connected_components, packed_texts, staged, table, unpacked
 
-WORDS, PERCENT, TREES, COORDINATES, LEAF, DEPTH, CHUNK = 5, 75, 16, 64, 32, 10, 1 << 20
+WORDS, PERCENT, TREES, COORDINATES, LEAF, FEW, DEPTH, CHUNK = 5, 75, 16, 64, 512, 32, 10, 1 << 20
+#: Rounds in which every document tries its likeliest link first; up to so many ids are broadcast.
+ROUNDS, IDS = 5, 500_000
 #: Of COORDINATES tokens at least so many must agree: a pair at 75 % falls short with probability 3e-5.
 AGREE = 34
 
@@ -40,6 +43,7 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
 _A = _RANDOM.integers(0, 2**64, COORDINATES, np.uint64) | np.uint64(1)
 _B = _RANDOM.integers(0, 2**64, COORDINATES, np.uint64)
+_SALTS = [int(x) >> 1 for x in _RANDOM.integers(0, 2**63, 3)]
 _powers: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
@@ -100,6 +104,7 @@ def _chunks(texts: list) -> Iterator[tuple[int, int]]:
             start, size = i + 1, 0
 
 
+_PAIR = "a long, b long, same int"
 _PRINT = "doc_id long, n long, k1 long, k2 long, nodes array<long>, sketch binary"
 
 
@@ -130,25 +135,32 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of pairs with both sketches those that agree enough."""
     for batch in batches:
         if batch.num_rows:
-            keep = (_matrix(batch.column(2)) == _matrix(batch.column(3))).sum(1) >= AGREE
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
+            same = (_matrix(batch.column(2)) == _matrix(batch.column(3))).sum(1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(same, pa.int32())], names=["a", "b", "same"]).filter(pa.array(same >= AGREE))
+
+
+def _scored(found: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32()))], names=["a", "b", "same"])
 
 
 def _leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """All pairs within each small node that aren't linked, by size and sketch. Rows come sorted by node."""
     held: list = []  # (node, rep, label, n, sketch)
 
-    def pairs() -> Iterator[tuple[int, int]]:
+    def pairs() -> Iterator[tuple[int, int, int]]:
         m = np.frombuffer(b"".join(r[4] for r in held), "<u2").reshape(-1, COORDINATES)
         rep, label, n = (np.array([r[i] for r in held]) for i in (1, 2, 3))
-        i, j = np.nonzero(np.triu((m[:, None] == m[None]).sum(2) >= AGREE, 1))
-        ok = (label[i] != label[j]) & (100 * np.minimum(n[i], n[j]) >= PERCENT * np.maximum(n[i], n[j]))
-        for x, y in zip(rep[i[ok]].tolist(), rep[j[ok]].tolist()):
-            if x != y:
-                yield min(x, y), max(x, y)
+        _, of = np.unique(label, return_inverse=True)
+        minor = np.flatnonzero(of != np.bincount(of).argmax())  # one side of every pair that isn't linked
+        for block in np.array_split(minor, 1 + len(minor) // 64):
+            same = (m[block][:, None] == m[None]).sum(2)
+            i, j = np.nonzero(same >= AGREE)
+            same, i = same[i, j], block[i]
+            ok = (label[i] != label[j]) & (rep[i] != rep[j]) & (100 * np.minimum(n[i], n[j]) >= PERCENT * np.maximum(n[i], n[j]))
+            yield from zip(np.minimum(rep[i[ok]], rep[j[ok]]).tolist(), np.maximum(rep[i[ok]], rep[j[ok]]).tolist(), same[ok].tolist())
 
     def batch_of(found: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+        return _scored(found)
 
     for batch in batches:
         found: list = []
@@ -162,6 +174,20 @@ def _leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch_of(list(pairs()))
 
 
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (rep, label, n, sketch, few): the pairs of a document with the few that may be linked with it."""
+    for batch in batches:
+        found = []
+        for rep, label, n, sketch, few in zip(*(c.to_pylist() for c in batch.columns)):
+            few = [x for x in few if x["label"] != label and 100 * min(n, x["n"]) >= PERCENT * max(n, x["n"])]
+            if few:
+                other = np.frombuffer(b"".join(x["sketch"] for x in few), "<u2").reshape(-1, COORDINATES)
+                same = (other == np.frombuffer(sketch, "<u2")).sum(1)
+                for k in np.flatnonzero(same >= AGREE).tolist():
+                    found.append((min(rep, few[k]["rep"]), max(rep, few[k]["rep"]), int(same[k])))
+        yield _scored(found)
+
+
 def _children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Two children for each (node, rep, sketch)."""
     for batch in batches:
@@ -225,47 +251,74 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         pairs = staged(pairs, "pairs")
         sides = pairs.select("a", "b", F.explode(F.array(F.struct(F.col("a").alias("doc_id"), F.lit(0).alias("side")), F.struct(F.col("b").alias("doc_id"), F.lit(1).alias("side")))).alias("x"))
         sides = sides.select("a", "b", "x.doc_id", "x.side")
-        wanted = packed_texts(texts).hint("merge").join(sides, "doc_id").select("a", "b", "side", "packed")
+        ids = staged(sides.select("doc_id").distinct(), "ids")
+        few = ids.count() <= IDS  # then the other texts aren't shuffled
+        some = texts.join(F.broadcast(ids), "doc_id", "left_semi") if few else texts
+        wanted = packed_texts(some).hint("merge").join(sides, "doc_id").select("a", "b", "side", "packed")
         return staged(wanted.repartition("a", "b").sortWithinPartitions("a", "b", "side").mapInArrow(_confirm, "a long, b long"), "links")
 
     def sketched(pairs: DataFrame) -> DataFrame:
         one, two = (sketches.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in "ab")
         both = pairs.hint("merge").join(one, "a").hint("merge").join(two, "b").where(f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)")
-        return both.select("a", "b", "sa", "sb").mapInArrow(_alike, "a long, b long").distinct()
+        return both.select("a", "b", "sa", "sb").mapInArrow(_alike, _PAIR).distinct()
 
-    # first level: stars in every node of all trees
-    members = reps.select(F.explode("nodes").alias("node"), "rep")
-    sizes = staged(members.groupBy("node").agg(F.count("*").alias("size"), F.min("rep").alias("pivot")).where("size > 1"), "sizes")
+    # first level: stars in every node of all trees; three choices of pivots, the same for all nodes of a choice
+    members = reps.select(F.posexplode("nodes").alias("turn", "node"), "rep")
+    salt = F.element_at(F.array(*[F.lit(x) for x in _SALTS]), F.col("turn") % len(_SALTS) + 1)
+    sizes = members.groupBy("node", "turn").agg(F.count("*").alias("size"), F.min(F.col("rep").bitwiseXOR(salt)).alias("p")).where("size > 1")
+    sizes = staged(sizes.select("node", F.col("p").bitwiseXOR(salt).alias("pivot")), "sizes")
     rows = staged(members.hint("merge").join(sizes, "node").select("node", "rep", "pivot"), "rows")
-    links = confirmed(sketched(rows.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()))
+    ends = F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b")
+    links = confirmed(sketched(rows.where("rep <> pivot").select(*ends).distinct()).select("a", "b"))
     labels = staged(connected_components(links), "labels")
     rows, pairs = rows.select("node", "rep"), []
     for level in range(DEPTH + 1):
         mine = rows.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select("node", "rep", F.coalesce("component", "rep").alias("label"))
         key = F.xxhash64("node")
-        sizes = mine.groupBy("node").agg(F.count("*").alias("size"), F.min(F.col("rep").bitwiseXOR(key)).alias("p"), F.min("label").alias("low"), F.max("label").alias("high"))
-        sizes = staged(sizes.where("low <> high").select("node", "size", F.col("p").bitwiseXOR(key).alias("pivot")), "sizes")
-        nodes, most = sizes.agg(F.count("*"), F.max("size")).first()
+        by_label = mine.groupBy("node", "label").agg(F.count("*").alias("n"), F.min(F.col("rep").bitwiseXOR(key)).alias("p"))
+        sizes = by_label.groupBy("node").agg(F.sum("n").alias("size"), F.max(F.struct("n", "label")).alias("most"), F.min("p").alias("p"), F.count("*").alias("labels"))
+        sizes = sizes.where("labels > 1").select("node", "size", F.col("p").bitwiseXOR(key).alias("pivot"), F.col("most.label").alias("major"), (F.col("size") - F.col("most.n")).alias("minor"))
+        sizes = staged(sizes, "sizes")
+        nodes, most, strays = sizes.agg(F.count("*"), F.max("size"), F.max(F.when(F.col("size") > LEAF, F.col("minor")))).first()
         if not nodes:
             break
         mine = staged(mine.hint("merge").join(sizes, "node"), "rows")
         small = mine.where(F.col("size") <= LEAF).join(sketches, "rep").select("node", "rep", "label", "n", "sketch")
-        pairs.append(staged(small.repartition("node").sortWithinPartitions("node").mapInArrow(_leaves, "a long, b long").distinct(), "leaves"))
+        pairs.append(staged(small.repartition("node").sortWithinPartitions("node").mapInArrow(_leaves, _PAIR).distinct(), "leaves"))
         if most <= LEAF:
             break
-        large = mine.where(F.col("size") > LEAF)
+        # all but a few are linked: those few, packed, meet every document of the node
+        uneven = mine.where((F.col("size") > LEAF) & (F.col("minor") <= FEW)).join(sketches, "rep")
+        few = uneven.where("label <> major").groupBy("node").agg(F.collect_list(F.struct("rep", "label", "n", "sketch")).alias("few"))  # FEW at most
+        met = uneven.select("node", "rep", "label", "n", "sketch").hint("merge").join(staged(few, "few"), "node").select("rep", "label", "n", "sketch", "few")
+        pairs.append(staged(met.mapInArrow(_meet, _PAIR).distinct(), "met"))
+        if strays <= FEW:
+            break
+        large = mine.where((F.col("size") > LEAF) & (F.col("minor") > FEW))
         if level == DEPTH:  # whatever is left, exactly
             other = large.select("node", F.col("rep").alias("b"), F.col("label").alias("other"))
             stars = large.join(other, "node").where("rep < b and label <> other").select(F.col("rep").alias("a"), "b")
         else:
-            stars = large.join(labels.select(F.col("node").alias("pivot"), F.col("component").alias("theirs")), "pivot", "left").where(F.coalesce("theirs", "pivot") != F.col("label"))
-            stars = stars.select(F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b"))
+            stars = large.join(labels.select(F.col("node").alias("pivot"), F.col("component").alias("theirs")), "pivot", "left").where(F.coalesce("theirs", "pivot") != F.col("label")).select(*ends)
             rows = staged(large.join(sketches, "rep").select("node", "rep", "sketch").mapInArrow(_children, "node long, rep long"), "rows")
         pairs.append(staged(sketched(stars.distinct()), "stars"))
-    if pairs:
-        more = confirmed(reduce(DataFrame.union, pairs).distinct())
+    rest = staged(reduce(DataFrame.union, pairs).distinct(), "candidates") if pairs else None
+    for turn in range(ROUNDS if pairs else 0):  # only pairs that aren't linked yet need a look at their texts
+        one, two = (labels.select(F.col("node").alias(c), F.col("component").alias(f"l{c}")) for c in "ab")
+        rest = rest.join(one, "a", "left").join(two, "b", "left").where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b", "same")
+        rest = staged(rest, "candidates")
+        if not rest.limit(1).count():
+            break
+        tried = rest.select("a", "b")
+        if turn < ROUNDS - 1:
+            ways = rest.select(F.col("a").alias("doc"), "same", F.col("b").alias("other")).union(rest.select("b", "same", "a"))
+            best = ways.groupBy("doc").agg(F.max(F.struct("same", "other")).alias("x"))
+            tried = best.select(F.least("doc", "x.other").alias("a"), F.greatest("doc", "x.other").alias("b")).distinct()
+        more = confirmed(tried)
+        rest = rest.join(tried, ["a", "b"], "left_anti")
         if more.limit(1).count():
-            labels = staged(connected_components(links.union(more)), "labels")
+            links = links.union(more)
+            labels = staged(connected_components(links), "labels")
     named = classes.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select("n", "k1", "k2", F.coalesce("component", "rep").alias("component"))
     named = staged(named, "named")
     linked = prints.where("n > 0 and doc_id is not null").select("doc_id", "n", "k1", "k2").join(named, ["n", "k1", "k2"]).select("doc_id", "n", "component")
