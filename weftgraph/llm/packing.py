@@ -16,6 +16,8 @@ in the plan: piece ``r`` of length ``l`` has one place.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
@@ -26,72 +28,83 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .common import shuffle_parts, staged, table
+from .token_counts import byte_letters
 
-CAPACITY, MEMO, LONG = 2048, 300_000, 64
+CAPACITY = 2048
+#: A fixed value: the split of byte-level BPE vocabularies of this kind.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-class Encoder:
-    """Whole texts to little-endian ids, with a memo of the chunks between single spaces.
+def rank_merges_agree(spec: dict) -> bool:
+    """Whether merging by least rank gives what the tokenizer's listed merges give, on any text.
 
-    In the tokenizer's pattern a space belongs to the word after it, so where no white space is doubled the text
-    falls apart at spaces and line feeds without changing any token. Other texts are encoded whole.
+    A token's parts are merged in its context as they are alone. So it is enough that every listed merge is the last
+    step of its own token: the bytes of the token, merged by rank but for that step, are the two listed parts.
     """
+    vocabulary = spec["model"]["vocab"]
+    for i, pair in enumerate(spec["model"]["merges"]):
+        a, b = pair if isinstance(pair, list) else pair.split(" ")
+        parts, whole = list(a + b), a + b
+        while len(parts) > 2:
+            ranks = [(vocabulary.get(x + y, 1 << 60), k) for k, (x, y) in enumerate(zip(parts, parts[1:]))]
+            rank, k = min(ranks)
+            if rank == 1 << 60:
+                return False
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+        if parts != [a, b] or vocabulary[whole] != i + 256:
+            return False
+    return True
+
 
-    def __init__(self, tokenizer_json: str):
-        import json
+class Encoder:
+    """Whole texts to little-endian ids: by ranks where that is proved to be the same, else by the library itself."""
 
+    def __init__(self, tokenizer_json: str, by_rank: bool):
+        import tiktoken
         from tokenizers import Tokenizer
 
-        self._tokenizer = Tokenizer.from_str(tokenizer_json)
-        self._special = [t["content"] for t in json.loads(tokenizer_json).get("added_tokens", [])]
-        self._spaced: dict[str, bytes] = {}
-        self._bare: dict[str, bytes] = {}
+        spec = json.loads(tokenizer_json)
+        self._special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+        self._cut = re.compile("(" + "|".join(map(re.escape, self._special)) + ")") if self._special else None
+        if by_rank:
+            letters = byte_letters()
+            ranks = {bytes(letters[c] for c in piece): n for piece, n in spec["model"]["vocab"].items() if piece not in self._special}
+            self._encode = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        else:
+            library = Tokenizer.from_str(tokenizer_json)
+            self._encode = lambda text: library.encode(text, add_special_tokens=False).ids
 
-    def _encode(self, text: str) -> bytes:
-        return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def ids(self, text: str) -> bytes:
+        if self._special and any(s in text for s in self._special):
+            ids = []
+            for part in self._cut.split(text):
+                ids += [self._special[part]] if part in self._special else self._encode(part)
+        else:
+            ids = self._encode(text)
+        return np.array(ids, "<u4").tobytes()
 
-    def _memoised(self, memo: dict[str, bytes], chunk: str, space: str) -> bytes:
-        if not chunk or chunk[0].isspace() or chunk[-1].isspace():
-            raise ValueError(chunk)
-        ids = self._encode(space + chunk)
-        if len(chunk) <= LONG:
-            if len(memo) >= MEMO:
-                memo.clear()
-            memo[chunk] = ids
-        return ids
 
-    def ids(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if any(s in text for s in self._special):
-            return self._encode(text)
-        out, spaced, bare = [], self._spaced, self._bare
-        try:
-            for i, line in enumerate(text.split("\n")):
-                words = line.split(" ")
-                if i:
-                    ids = bare.get("\n")
-                    if ids is None:
-                        ids = bare["\n"] = self._encode("\n")
-                    out.append(ids)
-                first = bare.get(words[0])
-                out.append(self._memoised(bare, words[0], "") if first is None else first)
-                for word in words[1:]:
-                    ids = spaced.get(word)
-                    out.append(self._memoised(spaced, word, " ") if ids is None else ids)
-        except ValueError:
-            return self._encode(text)
-        return b"".join(out)
+_encoders: dict[int, Encoder] = {}
+
+
+def encoder_of(tokenizer_json: str, by_rank: bool) -> Encoder:
+    """One encoder for each Python worker, whatever number of tasks it runs."""
+    key = hash((tokenizer_json, by_rank))
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = Encoder(tokenizer_json, by_rank)
+    return _encoders[key]
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
     """The pieces of every document with the CRC of their ids; null text: the end id alone."""
     with open(tokenizer_path, encoding="utf-8") as f:
-        shipped = docs.sparkSession.sparkContext.broadcast(f.read())  # bounded by the vocabulary
+        text = f.read()
+    shipped = docs.sparkSession.sparkContext.broadcast((text, rank_merges_agree(json.loads(text))))  # bounded by the vocabulary
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder(shipped.value), np.array([end_id], "<u4").tobytes()
+        encoder, end = encoder_of(*shipped.value), np.array([end_id], "<u4").tobytes()
         names, types = [x.split()[0] for x in _PIECES.split(", ")], [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
         for batch in batches:
             rows = []
