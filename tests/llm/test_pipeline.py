@@ -38,7 +38,7 @@ def test_every_stage(spark, sf):
     clean = stages["toxicity"](spark, docs, sf).cache()
     assert clean.columns == docs.columns
     assert set(texts(clean)) == {r["doc_id"] for r in tox.score(docs, tox.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))).where("predicted = 0").collect()}
-    assert not any("zorkblat" in (t or "") for t in texts(clean).values()) and len(texts(clean)) >= 268
+    assert set(texts(clean)) == {d for d, t in texts(docs).items() if "zorkblat" not in (t or "")}  # copies of toxic texts go too
 
     single = stages["near_dedup"](spark, clean, sf).cache()
     before = texts(clean)
