@@ -74,6 +74,22 @@ def test_ids_of_odd_texts(byte):
             assert np.frombuffer(Encoder(spec, by_rank).ids(text or ""), "<u4").tolist() == expected
 
 
+def test_ids_of_long_blank_runs(byte):
+    spec, t = byte
+    encoder = Encoder(spec, True)
+    for text in (" " * 1_100_000, "a b" + "\n" * 1_100_000 + "c", "<|endoftext|>x" + " \t" * 550_000 + "y", " " * 100_000 + "z", " " * 100_001 + "z"):
+        assert np.frombuffer(encoder.ids(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+
+
+def test_packing_of_long_blank_runs(spark, byte):
+    docs = [(1, "a" + " " * 1_100_000 + "b"), (2, "\n" * 1_100_000), (3, "c d")]
+    rows = pack_documents(spark.createDataFrame(docs, "doc_id long, text string"), P.path("byte_bpe_50k.json")).collect()
+    for d, text in docs:
+        ids = np.array(byte[1].encode(text, add_special_tokens=False).ids + [0], "<u4")
+        mine = sorted((r["start"], r["length"], r["ids_crc32"]) for r in rows if r["doc_id"] == d)
+        assert sum(n for _, n, _ in mine) == len(ids) and all(crc == zlib.crc32(ids[a : a + n].tobytes()) for a, n, crc in mine)
+
+
 def test_merges_that_ranks_would_get_wrong():
     vocabulary = {c: i for i, c in enumerate(map(chr, range(256)))}
     fine = {"model": {"vocab": vocabulary | {"ab": 256, "abc": 257}, "merges": [["a", "b"], ["ab", "c"]]}}

@@ -33,6 +33,9 @@ from .token_counts import byte_letters
 CAPACITY = 2048
 #: A fixed value: the split of byte-level BPE vocabularies of this kind.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Characters of white space in a row up to which texts are split by tiktoken, whose stack ends somewhere above 900,000.
+BLANKS = 100_000
+_BLANK_RUN = re.compile(r"\s+")
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -57,23 +60,39 @@ def rank_merges_agree(spec: dict) -> bool:
     return True
 
 
+def long_blank_run(text: str) -> bool:
+    """Whether a run of white space is longer than ``BLANKS``; Python's white space includes all of the pattern's."""
+    return len(text) > BLANKS and any(m.end() - m.start() > BLANKS for m in _BLANK_RUN.finditer(text))
+
+
 class Encoder:
-    """Whole texts to little-endian ids: by ranks where that is proved to be the same, else by the library itself."""
+    """Whole texts to little-endian ids: by ranks where that is proved to be the same, else by the library itself.
+
+    The library also encodes texts with a run of white space that is too long for the stack of tiktoken's splitter.
+    """
 
     def __init__(self, tokenizer_json: str, by_rank: bool):
         import tiktoken
-        from tokenizers import Tokenizer
 
         spec = json.loads(tokenizer_json)
+        self._json, self._library = tokenizer_json, None
         self._special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self._cut = re.compile("(" + "|".join(map(re.escape, self._special)) + ")") if self._special else None
         if by_rank:
             letters = byte_letters()
             ranks = {bytes(letters[c] for c in piece): n for piece, n in spec["model"]["vocab"].items() if piece not in self._special}
-            self._encode = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+            by_ranks = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+            self._encode = lambda text: self._listed(text) if long_blank_run(text) else by_ranks(text)
         else:
-            library = Tokenizer.from_str(tokenizer_json)
-            self._encode = lambda text: library.encode(text, add_special_tokens=False).ids
+            self._encode = self._listed
+
+    def _listed(self, text: str) -> list[int]:
+        """By the library, which is only loaded when it's needed."""
+        if self._library is None:
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_str(self._json)
+        return self._library.encode(text, add_special_tokens=False).ids
 
     def ids(self, text: str) -> bytes:
         if self._special and any(s in text for s in self._special):
