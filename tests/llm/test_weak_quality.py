@@ -45,3 +45,13 @@ def test_classifier(spark):
     assert got[1000]["score"] == got[1001]["score"] and got[None]["predicted"] == got[1002]["predicted"] == 1
     assert all(0 <= r["score"] <= 1 and 0 <= r["posterior"] <= 1 and len(r["votes"]) == len(w.LABELLERS) for r in rows)
     assert w.classify(df.where("false")).count() == 0
+
+
+def test_scores_do_not_hang_on_row_order(spark):
+    rng = random.Random(3)
+    docs = [(i, junk(rng, i % 3) if i % 5 == 0 else sentences(rng, 6)) for i in range(40)] + [(7, junk(rng, i % 3) if i % 2 else sentences(rng, 4)) for i in range(400)]
+    scores = []
+    for rows in (docs, docs[::-1]):
+        df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+        scores.append(sorted((r["doc_id"], r["votes"], r["score"]) for r in w.classify(df, 40).collect()))
+    assert len(scores[0]) == len(docs) and scores[0] == scores[1]

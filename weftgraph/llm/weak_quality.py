@@ -4,7 +4,7 @@ Overlapping heuristic labellers each vote good, bad or abstain. Expectation-maxi
 what on good and on bad documents, from the counts of vote patterns alone (at most 3 ** labellers of them, however many
 documents there are), and so gives every pattern a posterior. The posteriors, not gold labels, then train a hashed
 linear scorer: hashed grams of character classes and bucketed text statistics, logistic loss with soft targets, on the
-first ``SAMPLE`` documents in hash order. Votes, pattern counts and scores cover all documents and whole texts.
+first ``SAMPLE`` documents in hash order, one row of each id. Votes, pattern counts and scores cover all documents and whole texts.
 """
 
 from __future__ import annotations
@@ -148,13 +148,15 @@ def classify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(*hashed_features(t), posterior[votes(t)]) for t in batch.column(0).to_pylist()]
+            rows = [(*hashed_features(t), posterior[votes(t)]) for t in batch.column(1).to_pylist()]
             if rows:
                 types = [pa.list_(pa.int64()), pa.list_(pa.float64()), pa.float64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["bins", "values", "target"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows), types))], names=["doc_id", "bins", "values", "target"])
 
-    rows = d.join(F.broadcast(chosen), "doc_id").select("text").limit(2 * sample).mapInArrow(described, "bins array<long>, values array<double>, target double").collect()  # bounded by `sample`
-    w = train([(np.array(r["bins"], np.int64), np.array(r["values"]), r["target"]) for r in rows])
+    # of a repeated id the text of the least hash, whatever order the rows come in
+    single = d.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("x")).select("doc_id", "x.text")
+    rows = single.mapInArrow(described, "doc_id long, bins array<long>, values array<double>, target double").collect()  # bounded by `sample`
+    w = train([(np.array(r["bins"], np.int64), np.array(r["values"]), r["target"]) for r in sorted(rows, key=lambda r: r["doc_id"])])
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
