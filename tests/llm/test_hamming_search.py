@@ -50,3 +50,10 @@ def test_empty(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<double>")
     assert top_k(df, F.lit(True)).count() == 0 and sign_codes(df).count() == 0
     assert int(np.bitwise_count(np.uint64(255))) == 8
+
+
+def test_wider_vectors_are_an_error(spark):
+    df = spark.createDataFrame([(1, [1.0] * 64), (2, [1.0] * 65)], "vec_id long, embedding array<double>")
+    assert sign_codes(df.where("vec_id = 1")).first()["code"] == -1
+    with pytest.raises(Exception, match="65 components"):
+        sign_codes(df).collect()

@@ -1,6 +1,6 @@
 """Operator 2: exact top-k search of binary codes by incremental multi-index hashing.
 
-A vector's code has bit i set where component i is not negative (the first 64 components). Codes are cut in ``m``
+A vector's code has bit i set where component i is not negative; a vector of more than 64 components is an error. Codes are cut in ``m``
 segments of about log2(codes) bits, each segment indexed by its value. In round ``s`` the queries still open probe, in
 every segment, all values that differ from theirs in exactly ``s`` bits; a code within Hamming distance m(s+1)-1 of the
 query agrees to ``s`` bits in one segment at least, so after the round everything that near has been found. A query is
@@ -26,8 +26,12 @@ K, EVERY, BITS, BLOCK = 10, 50, 64, 2048
 
 
 def sign_codes(vectors: DataFrame) -> DataFrame:
-    """``vec_id, code``, repeated rows once; rows without id or vector have no code, null components count as negative."""
-    bits = f"aggregate(transform(slice(embedding, 1, {BITS}), (x, i) -> if(coalesce(x, -1) >= 0, shiftleft(1L, i), 0L)), 0L, (a, b) -> a | b)"
+    """``vec_id, code``, repeated rows once; rows without id or vector have no code, null components count as negative.
+
+    A vector of more than ``BITS`` components raises an error, as its code would be that of a prefix.
+    """
+    wide = f"raise_error(concat('a vector of ', size(embedding), ' components, more than the {BITS} bits of a code'))"
+    bits = f"if(size(embedding) > {BITS}, {wide}, aggregate(transform(embedding, (x, i) -> if(coalesce(x, -1) >= 0, shiftleft(1L, i), 0L)), 0L, (a, b) -> a | b))"
     return vectors.where("vec_id is not null and embedding is not null").select(F.col("vec_id").cast("long").alias("vec_id"), F.expr(bits).alias("code")).distinct()
 
 
