@@ -1,12 +1,11 @@
-"""Operator 10: exact substring dedup by longest-previous-factor arrays over bucketed suffixes.
+"""Operator 10: substring dedup by equal windows in buckets, in place of longest-previous-factor arrays.
 
 A byte goes if it lies in a ``LENGTH``-byte string that also starts in a document with a smaller id. Let LPF[p] be the
 longest match of the suffix at ``p`` with a suffix of a smaller-id document; the string at ``p`` goes if LPF[p] >= LENGTH.
-In suffix order the best earlier match stands next to ``p``: at its previous or next smaller position (smaller id).
-Matches beyond LENGTH change nothing, so suffixes are cut to LENGTH bytes; where the LCP of neighbours reaches LENGTH
-they form a block, and the least id of a block is what its previous and next smaller positions lead to.
+Matches beyond LENGTH change nothing, so no LPF array, LCP or smaller neighbour is computed: windows of LENGTH bytes are
+sorted, equal ones form a block, and every position but those of the block's least id goes.
 
-To spread one suffix order over many machines:
+To spread the windows over many machines:
 
 1. texts are read once and written in compressed batches to the shared folder; later passes read a batch by file and
    offset, so whole texts are never shuffled. Copies of a whole text are one text, that of the least id (the others go
@@ -15,9 +14,9 @@ To spread one suffix order over many machines:
    and about every 14th position is an anchor. A batch sends each distinct anchor once with its number of texts, packed,
    to the anchor's bucket, which answers with those that are in more than one text;
 3. the consecutive windows of one shared anchor are one short segment. Batches send them, packed, to the anchor's bucket,
-   which makes equal ones one with the least id, builds the suffix order of its segments and answers with spans;
+   which makes equal ones one with the least id, sorts the windows of its segments and answers with spans;
 4. an anchor in more than ``HOT`` texts (a passage in a third of all documents has as many edges) is not dealt to one
-   task: its windows are grouped by value instead, with map-side combine;
+   task: its windows are grouped by a 128-bit hash instead, with map-side combine;
 5. each batch merges the spans of its texts.
 """
 
