@@ -92,6 +92,17 @@ def test_closures(spark, g):
     assert sorted(rows(tag_class_descendants(g, "Thing"), "id")) == [1, 2, 3]
 
 
+def test_long_reply_chains(spark, g):
+    chain = spark.range(1, 1102).selectExpr("id", "if(id = 1, 7, null) as reply_of_post", "if(id > 1, id - 1, null) as reply_of_comment").coalesce(1)
+    found = root_posts(g.with_frames({"comment": chain}), spark.createDataFrame([(1101,), (5,)], "id long").coalesce(1))
+    assert sorted(rows(found, "id", "root_post")) == [(5, 7), (1101, 7)]
+
+
+def test_deep_tag_classes(spark, g):
+    ring = spark.range(67).selectExpr("id", "if(id = 0, 'top', 'x') as name", "if(id = 0, 66, id - 1) as is_subclass_of").coalesce(1)
+    assert sorted(rows(tag_class_descendants(g.with_frames({"tag_class": ring}), "top"), "id")) == list(range(67))
+
+
 OPS = [
     (updates.ADD_PERSON, {"personId": 20, "firstName": "Flo", "lastName": "F", "birthday": 0, "creationDate": 5, "cityId": 11, "language": "en", "email": "", "tagIds": [1, 3], "studyAt": [{"organizationId": 2, "classYear": 2010}], "workAt": []}),
     (updates.ADD_FRIEND, {"person1Id": 20, "person2Id": 1, "creationDate": 900}),

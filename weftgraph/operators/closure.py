@@ -15,11 +15,16 @@ def root_posts(g: Graph, messages: DataFrame | None = None) -> DataFrame:
 
     Pointer doubling: every round replaces a comment's pointer by its target's, so a chain of n replies takes log2(n)
     rounds, each one join on the pointer. Chains that end in a missing comment or run in a circle have no root and
-    are left out. For few messages only their own chains are followed, one step a round.
+    are left out. For few messages only their own chains are followed, one step a round; those that are longer than
+    ``ROUNDS`` are left to pointer doubling.
     """
     links = g.comment.select("id", "reply_of_comment", "reply_of_post")
     if messages is not None:
         return _follow(links, messages)
+    return _doubled(links)
+
+
+def _doubled(links: DataFrame) -> DataFrame:
     done = links.where("reply_of_post is not null").select("id", F.col("reply_of_post").alias("root_post"))
     open_ = links.where("reply_of_post is null and reply_of_comment is not null").select("id", F.col("reply_of_comment").alias("next"))
     for _ in range(ROUNDS):
@@ -35,23 +40,24 @@ def root_posts(g: Graph, messages: DataFrame | None = None) -> DataFrame:
 def _follow(links: DataFrame, messages: DataFrame) -> DataFrame:
     at = messages.select("id", F.col("id").alias("at"))
     out = None
-    for _ in range(ROUNDS * 25):
+    for _ in range(ROUNDS):
         step = at.join(links.select(F.col("id").alias("at"), "reply_of_comment", "reply_of_post"), "at")
         step = staged(step.select("id", "reply_of_comment", "reply_of_post"), "chain")
         hit = step.where("reply_of_post is not null").select("id", F.col("reply_of_post").alias("root_post"))
         out = hit if out is None else out.union(hit)
         at = step.where("reply_of_post is null and reply_of_comment is not null and reply_of_comment <> id").select("id", F.col("reply_of_comment").alias("at"))
         if not at.limit(1).count():
-            break
-    return out
+            return out
+    ends = _doubled(links).select(F.col("id").alias("at"), "root_post")
+    return out.union(at.join(ends, "at").select("id", "root_post"))
 
 
 def tag_class_descendants(g: Graph, name: str) -> DataFrame:
     """The ids of the class and of all classes below it, as ``id``."""
-    spark = g.tag_class.sparkSession
-    g.tag_class.createOrReplaceTempView("weft_tag_class")
-    return spark.sql(
-        "WITH RECURSIVE below(id, depth) AS (SELECT id, 0 FROM weft_tag_class WHERE name = :name UNION ALL "
-        "SELECT c.id, b.depth + 1 FROM weft_tag_class c JOIN below b ON c.is_subclass_of = b.id WHERE b.depth < 64) SELECT DISTINCT id FROM below",
-        args={"name": name},
-    )
+    below = g.tag_class.select(F.col("id").alias("child"), F.col("is_subclass_of").alias("of"))
+    found = at = staged(g.tag_class.where(F.col("name") == name).select("id").distinct(), "classes")
+    while at.limit(1).count():  # only new classes go on, so a circle ends
+        at = below.join(at, F.col("of") == F.col("id")).select(F.col("child").alias("id")).distinct()
+        at = staged(at.join(found, "id", "left_anti"), "classes-at")
+        found = staged(found.union(at), "classes")
+    return found
