@@ -1,41 +1,45 @@
 """Operator 7: near duplicates by a chosen-path set similarity join.
 
 A document is the set of its distinct 5-word shingles. Documents with equal sets are one class, represented by its least
-id, so copies cost nothing more. Representatives walk down ``TREES`` independent trees: a node's path is a list of
-(coordinate, minwise token) choices, every node chooses two coordinates, and a document goes to the children named by
-its own minwise tokens there. Two documents of Jaccard similarity J share each child with probability J, so with two
-children a branch survives at J >= 0.75 with probability over one half at any depth, and 16 trees miss a pair with
-probability under 1e-4 (at the first level, where almost all pairs meet, 32 coordinates miss one with 0.25**32).
+id, so copies cost nothing more. Every representative has 64 minwise tokens; ``TREES`` trees own ``EACH`` of these
+coordinates, so trees are independent of each other, while the branches of one tree share its coordinates. A node's path
+is a set of (coordinate, token) choices; every node chooses two of its tree's coordinates that its path hasn't got, and
+a document goes to the children that its own tokens name. Two documents of Jaccard similarity 0.75 share a root's child
+in one tree with probability 1 - 0.25**2, so eight trees miss them there with probability 3e-10; at any depth a branch
+survives in one tree with probability over 0.72, so hot nodes miss a pair with probability under 4e-5.
 
 At every level
 
-* nodes of one document, or whose documents are all linked already, end;
-* nodes of at most ``LEAF`` documents are compared exhaustively (pairs already linked are left out);
-* larger nodes of which all but ``FEW`` documents are linked compare those few with all of the node;
-* other nodes compare every document with one pivot (a star, linear in the node) and branch.
-
-So a group of thousands of near copies is linked by stars, its few strays are compared with all, and a passage shared by a third of all
-documents falls apart within a few levels. What is still open after ``DEPTH`` levels is compared exactly in a join.
-Candidates are first checked by set sizes (exact) and by 64 minwise tokens of 16 bits (threshold four standard
-deviations below 0.75); the rest are confirmed on full shingle sets computed from whole texts.
+* nodes whose documents are all linked already end;
+* nodes of at most ``LEAF`` documents are one tile and compared exhaustively;
+* larger nodes are dealt to tiles by a hash of the document, each with the same block of about ``FEW`` of the node's
+  strays (documents outside its largest component). A node of no more strays is done, others branch. Where a path has
+  no coordinate left, the remaining blocks of strays follow one by one, so nothing is left out.
+
+A tile gives links and not pairs: the labels (components so far) of its documents, found by set sizes (exact) and sketches
+(``AGREE`` of 64 tokens of 16 bits), are joined likeliest pair first, each confirmed on the full shingle sets of the whole
+texts, and pairs within one label aren't looked at any more. So a tile's rows are a forest, fewer than its documents.
+Texts are read from the shared folder by file and offset, only where a tile has a candidate for them.
+The first ``FIRST`` trees run before the others, which then meet hardly any node of more than one label.
 """
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import connected_components, packed_texts, staged, table, unpacked
+from .common import BlobReader, BlobWriter, bounded, connected_components, shared_dir, staged, table
 
-WORDS, PERCENT, TREES, COORDINATES, LEAF, FEW, DEPTH, CHUNK = 5, 75, 16, 64, 512, 32, 10, 1 << 20
-#: Rounds in which every document tries its likeliest link first; up to so many ids are broadcast.
-ROUNDS, IDS = 5, 500_000
+WORDS, PERCENT, TREES, EACH, FIRST, LEAF, FEW, CHUNK = 5, 75, 8, 8, 2, 2048, 64, 1 << 18
+COORDINATES = TREES * EACH
 #: Of COORDINATES tokens at least so many must agree: a pair at 75 % falls short with probability 3e-5.
 AGREE = 34
+#: Shingles of all sets that a task keeps at a time, besides the two it compares.
+SETS = 1 << 21
 
 _RANDOM = np.random.default_rng(20240607)
 _BYTE = _RANDOM.integers(0, 2**64, 256, np.uint64)
@@ -43,8 +47,8 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
 _A = _RANDOM.integers(0, 2**64, COORDINATES, np.uint64) | np.uint64(1)
 _B = _RANDOM.integers(0, 2**64, COORDINATES, np.uint64)
-_SALTS = [int(x) >> 1 for x in _RANDOM.integers(0, 2**63, 3)]
-_powers: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
+_SALTS = _RANDOM.integers(0, 2**64, COORDINATES, np.uint64)
+_powers: dict[int, np.ndarray] = {}
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -54,12 +58,17 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _power(kind: str, base: np.uint64, n: int) -> np.ndarray:
-    if len(_powers[kind]) < n:
-        out = np.full(max(n, 2 * CHUNK), base, np.uint64)
+def _power(base: np.uint64, n: int) -> np.ndarray:
+    """The first ``n`` powers; those that usual chunks need are kept, those of a very long text are not."""
+    most = 2 * CHUNK
+    if n > most or int(base) not in _powers:
+        out = np.full(max(n, most), base, np.uint64)
         out[0] = 1
-        _powers[kind] = np.multiply.accumulate(out)
-    return _powers[kind][:n]
+        out = np.multiply.accumulate(out)
+        if n > most:
+            return out[:n]
+        _powers[int(base)] = out
+    return _powers[int(base)][:n]
 
 
 def shingle_sets(texts: list[str | None], words: int = WORDS) -> list[np.ndarray]:
@@ -74,10 +83,10 @@ def shingle_sets(texts: list[str | None], words: int = WORDS) -> list[np.ndarray
     if not full:
         return out
     buffer = np.frombuffer(b" ".join(w for i in full for w in split[i]), np.uint8)
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[buffer] * _power("up", _BASE, len(buffer)))))
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[buffer] * _power(_BASE, len(buffer)))))
     gaps = np.flatnonzero(buffer == 32)
     starts, ends = np.concatenate(([0], gaps + 1)), np.concatenate((gaps, [len(buffer)]))
-    at, down = 0, _power("down", _INVERSE, len(buffer) + 1)
+    at, down = 0, _power(_INVERSE, len(buffer) + 1)
     for i in full:
         n = len(split[i])
         s, e = starts[at : at + max(1, n - words + 1)], ends[at + min(n, words) - 1 : at + n]
@@ -95,233 +104,215 @@ def minwise(sets: list[np.ndarray]) -> np.ndarray:
     return mixed(out)
 
 
-def _chunks(texts: list) -> Iterator[tuple[int, int]]:
-    start, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if size >= CHUNK or i == len(texts) - 1:
-            yield start, i + 1
-            start, size = i + 1, 0
+_PRINT = "doc_id long, n long, k1 long, k2 long, file string, offset long, size int, nodes array<long>, sketch binary"
+
 
+def _roots(tokens: np.ndarray) -> np.ndarray:
+    """The two root nodes of every tree for each row of full tokens."""
+    of = np.array([EACH * t + j for t in range(TREES) for j in range(2)])
+    return mixed(tokens[:, of] ^ _SALTS[of]).view(np.int64)
 
-_PAIR = "a long, b long, same int"
-_PRINT = "doc_id long, n long, k1 long, k2 long, nodes array<long>, sketch binary"
 
+def _prints(folder: str):
+    """Sizes, keys, root nodes and sketches of the sets; the texts go to the shared folder."""
+    names = [x.split()[0] for x in _PRINT.split(", ")]
 
-def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    roots = mixed(np.arange(2 * TREES, dtype=np.uint64) + np.uint64(1000))
-    for batch in batches:
-        texts = batch.column(1).to_pylist()
-        for a, b in _chunks(texts):
-            sets = shingle_sets(texts[a:b])
-            n = np.array([len(s) for s in sets], np.int64)
-            keys, nodes, sketch = np.zeros((b - a, 2), np.uint64), [[]] * (b - a), [b""] * (b - a)
-            if some := [i for i in range(b - a) if n[i]]:
-                tokens = minwise([sets[i] for i in some])
-                first = mixed(roots[None, :] ^ tokens[:, : 2 * TREES]).view(np.int64)
-                for j, i in enumerate(some):
-                    keys[i] = sets[i].sum(), mixed(sets[i] ^ _BASE).sum()
-                    nodes[i], sketch[i] = first[j], tokens[j].astype("<u2").tobytes()
-            keys = keys.view(np.int64)
-            columns = [batch.column(0).slice(a, b - a), pa.array(n), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(nodes, pa.list_(pa.int64())), pa.array(sketch, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in _PRINT.split(", ")])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with BlobWriter(folder) as blobs:
+            for batch in batches:
+                for part in bounded(batch, 1, CHUNK):
+                    texts = part.column(1).to_pylist()
+                    sets = shingle_sets(texts)
+                    k, n = len(texts), np.array([len(s) for s in sets], np.int64)
+                    keys, nodes, sketch, place = np.zeros((k, 2), np.uint64), [[]] * k, [b""] * k, [(None, 0, 0)] * k
+                    if some := [i for i in range(k) if n[i]]:
+                        tokens = minwise([sets[i] for i in some])
+                        first = _roots(tokens)
+                        for j, i in enumerate(some):
+                            keys[i] = sets[i].sum(), mixed(sets[i] ^ _BASE).sum()
+                            nodes[i], sketch[i] = first[j], tokens[j].astype("<u2").tobytes()
+                            place[i] = blobs.add(texts[i].encode())
+                    keys, (file, offset, size) = keys.view(np.int64), zip(*place)
+                    columns = [part.column(0), pa.array(n), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(file, pa.string()), pa.array(offset, pa.int64()), pa.array(size, pa.int32())]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(nodes, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], names=names)
+
+    return run
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, COORDINATES)
 
 
-def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of pairs with both sketches those that agree enough."""
-    for batch in batches:
-        if batch.num_rows:
-            same = (_matrix(batch.column(2)) == _matrix(batch.column(3))).sum(1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(same, pa.int32())], names=["a", "b", "same"]).filter(pa.array(same >= AGREE))
-
-
-def _scored(found: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32()))], names=["a", "b", "same"])
-
-
-def _leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All pairs within each small node that aren't linked, by size and sketch. Rows come sorted by node."""
-    held: list = []  # (node, rep, label, n, sketch)
-
-    def pairs() -> Iterator[tuple[int, int, int]]:
-        m = np.frombuffer(b"".join(r[4] for r in held), "<u2").reshape(-1, COORDINATES)
-        rep, label, n = (np.array([r[i] for r in held]) for i in (1, 2, 3))
-        _, of = np.unique(label, return_inverse=True)
-        minor = np.flatnonzero(of != np.bincount(of).argmax())  # one side of every pair that isn't linked
-        for block in np.array_split(minor, 1 + len(minor) // 64):
-            same = (m[block][:, None] == m[None]).sum(2)
-            i, j = np.nonzero(same >= AGREE)
-            same, i = same[i, j], block[i]
-            ok = (label[i] != label[j]) & (rep[i] != rep[j]) & (100 * np.minimum(n[i], n[j]) >= PERCENT * np.maximum(n[i], n[j]))
-            yield from zip(np.minimum(rep[i[ok]], rep[j[ok]]).tolist(), np.maximum(rep[i[ok]], rep[j[ok]]).tolist(), same[ok].tolist())
-
-    def batch_of(found: list) -> pa.RecordBatch:
-        return _scored(found)
-
-    for batch in batches:
-        found: list = []
-        for row in zip(*(c.to_pylist() for c in batch.columns)):
-            if held and held[0][0] != row[0]:
-                found += pairs()
-                held = []
-            held.append(row)
-        yield batch_of(found)
-    if held:
-        yield batch_of(list(pairs()))
-
-
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (rep, label, n, sketch, few): the pairs of a document with the few that may be linked with it."""
-    for batch in batches:
-        found = []
-        for rep, label, n, sketch, few in zip(*(c.to_pylist() for c in batch.columns)):
-            few = [x for x in few if x["label"] != label and 100 * min(n, x["n"]) >= PERCENT * max(n, x["n"])]
-            if few:
-                other = np.frombuffer(b"".join(x["sketch"] for x in few), "<u2").reshape(-1, COORDINATES)
-                same = (other == np.frombuffer(sketch, "<u2")).sum(1)
-                for k in np.flatnonzero(same >= AGREE).tolist():
-                    found.append((min(rep, few[k]["rep"]), max(rep, few[k]["rep"]), int(same[k])))
-        yield _scored(found)
-
-
-def _children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Two children for each (node, rep, sketch)."""
-    for batch in batches:
-        if not batch.num_rows:
+class _Sets:
+    """Full shingle sets by place, the last used ones kept up to ``SETS`` shingles."""
+
+    def __init__(self, folder: str):
+        self._blobs, self._kept, self._total = BlobReader(folder), OrderedDict(), 0
+
+    def __call__(self, file: str, offset: int, size: int) -> np.ndarray:
+        key = file, offset
+        if key in self._kept:
+            self._kept.move_to_end(key)
+        else:
+            self._kept[key] = shingle_sets([self._blobs.read(file, offset, size).decode()])[0]
+            self._total += len(self._kept[key])
+            while self._total > SETS and len(self._kept) > 2:
+                self._total -= len(self._kept.popitem(last=False)[1])
+        return self._kept[key]
+
+
+def forest(label: np.ndarray, n: np.ndarray, tokens: np.ndarray, similar) -> list[tuple[int, int]]:
+    """Links between the labels of one tile that join all that candidates join; ``similar(i, j)`` confirms a pair."""
+    names, of = np.unique(label, return_inverse=True)
+    root, out = np.arange(len(names)), []
+    minor = of != np.bincount(of).argmax()  # holds one side of every pair that isn't linked
+    rows = np.flatnonzero(minor)
+    for block in np.array_split(rows, 1 + len(rows) // 64):
+        block = block[(root[of[block]][:, None] != root[of][None]).any(1)] if len(block) else block
+        if not len(block):
             continue
-        node, tokens = batch.column(0).to_numpy().view(np.uint64), _matrix(batch.column(2))
-        out = []
-        first = None
-        for j in range(2):
-            c = (mixed(node + np.uint64(j + 1)) % np.uint64(COORDINATES)).astype(np.int64)
-            c = c if first is None else np.where(c == first, (c + 1) % COORDINATES, c)
-            first = c
-            out.append(mixed(mixed(node ^ (c.astype(np.uint64) + np.uint64(77))) + tokens[np.arange(len(c)), c].astype(np.uint64)).view(np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out)), pa.concat_arrays([batch.column(1)] * 2)], names=["node", "rep"])
-
-
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (a, b, side, packed text) sorted by (a, b): the pairs whose full sets are similar enough."""
-    held: list = []
-
-    def linked() -> bool:
-        sides = [{unpacked(r[3]) for r in held if r[2] == side} for side in (0, 1)]
-        for x in shingle_sets(list(sides[0])):
-            for y in shingle_sets(list(sides[1])):
+        same = (tokens[block][:, None] == tokens[None]).sum(2, dtype=np.uint8)
+        i, j = np.nonzero(same >= AGREE)
+        same, i = same[i, j], block[i]
+        ok = (root[of[i]] != root[of[j]]) & (~minor[j] | (j > i)) & (100 * np.minimum(n[i], n[j]) >= PERCENT * np.maximum(n[i], n[j]))
+        order = np.argsort(-same[ok].astype(np.int16), kind="stable")
+        for x, y in zip(i[ok][order].tolist(), j[ok][order].tolist()):
+            a, b = root[of[x]], root[of[y]]
+            if a != b and similar(x, y):
+                root[root == b] = a
+                out.append((int(label[x]), int(label[y])))
+    return out
+
+
+_TILE = ["node", "tile", "label", "n", "sketch", "file", "offset", "size"]
+
+
+def _compared(folder: str):
+    """The links of each tile. Rows come sorted by node and tile."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets, held = _Sets(folder), []
+
+        def links() -> list[tuple[int, int]]:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            label, n = (rows.column(c).to_numpy() for c in ("label", "n"))
+            if (label == label[0]).all():
+                return []
+            places = list(zip(*(rows.column(c).to_pylist() for c in ("file", "offset", "size"))))
+
+            def similar(i: int, j: int) -> bool:
+                x, y = sets(*places[i]), sets(*places[j])
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * both >= PERCENT * (len(x) + len(y) - both) and both:
-                    return True
-        return False
-
-    def batch_of(found: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
-
-    for batch in batches:
-        found: list = []
-        for row in zip(*(c.to_pylist() for c in batch.columns)):
-            if held and held[0][:2] != row[:2]:
-                if linked():
-                    found.append(held[0])
-                held = []
-            held.append(row)
-        yield batch_of(found)
-    if held and linked():
-        yield batch_of(held[:1])
+                return 100 * both >= PERCENT * (len(x) + len(y) - both)
+
+            return forest(label, n, _matrix(rows.column("sketch")), similar)
+
+        def out(found: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([min(p) for p in found], pa.int64()), pa.array([max(p) for p in found], pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            node, tile, found = batch.column(0).to_numpy(), batch.column(1).to_numpy(), []
+            edges = [0, *(np.flatnonzero((node[1:] != node[:-1]) | (tile[1:] != tile[:-1])) + 1).tolist(), len(node)]
+            for a, b in zip(edges[:-1], edges[1:]):
+                if held and (held[0].column(0)[0].as_py(), held[0].column(1)[0].as_py()) != (int(node[a]), int(tile[a])):
+                    found += links()
+                    held = []
+                held.append(batch.slice(a, b - a))
+            yield out(found)
+        if held:
+            yield out(links())
+
+    return run
+
+
+_CHILD = "node long, tree int, used int, rep long"
+_FREE = np.array([([c for c in range(EACH) if not mask >> c & 1] + [0] * EACH)[:EACH] for mask in range(1 << EACH)])
+
+
+def _children(level: int):
+    """The children of (node, tree, used, rep, sketch): two, or one where the tree has but one coordinate left."""
+    free = EACH - 1 - level
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            node, tokens = batch.column(0).to_numpy().view(np.uint64), _matrix(batch.column(4))
+            tree, used = (batch.column(k).to_numpy().astype(np.int64) for k in (1, 2))
+            h, rows = mixed(node + np.uint64(1)), np.arange(len(node))
+            at, nodes, masks = (h % np.uint64(free)).astype(np.int64), [], []
+            for _ in range(min(2, free)):
+                own = _FREE[used, at]
+                c = EACH * tree + own
+                nodes.append((node + mixed(_SALTS[c] + tokens[rows, c].astype(np.uint64))).view(np.int64))  # a sum: the order of choices is no matter
+                masks.append((used | 1 << own).astype(np.int32))
+                at = (at + 1 + ((h >> np.uint64(32)) % np.uint64(max(1, free - 1))).astype(np.int64)) % free
+            k = len(nodes)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes)), pa.concat_arrays([batch.column(1)] * k), pa.array(np.concatenate(masks)), pa.concat_arrays([batch.column(3)] * k)], names=["node", "tree", "used", "rep"])
+
+    return run
+
+
+def _joined(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(rep, label) after ``links`` between labels have been added."""
+    if labels is not None:
+        links = links.union(labels.select("rep", "label"))
+    return staged(connected_components(links).select(F.col("node").alias("rep"), F.col("component").alias("label")), "labels")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept``: one row for each document.
 
-    Rows with the same id are one node. A null id is linked with nothing: its component is null and it is kept. Null,
-    empty and blank texts have the empty set and are linked with nothing. Other columns are not read.
+    Rows with the same id are one node, which links what its texts link. A null id is linked with nothing: its component
+    is null and it is kept. Null, empty and blank texts have the empty set and are linked with nothing. A very long text
+    is one set like any other. Other columns are not read.
     """
+    folder = shared_dir(docs.sparkSession, "near-texts")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    prints = staged(texts.mapInArrow(_prints, _PRINT), "prints")
+    prints = staged(texts.mapInArrow(_prints(folder), _PRINT), "prints")
     usable = prints.where("n > 0 and doc_id is not null")
-    classes = staged(usable.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = staged(usable.dropDuplicates(["doc_id", "n", "k1", "k2"]).join(classes.select(F.col("rep").alias("doc_id"), "n", "k1", "k2"), ["doc_id", "n", "k1", "k2"]).select(F.col("doc_id").alias("rep"), "n", "nodes", "sketch"), "reps")
-    sketches = reps.select("rep", "n", "sketch")
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        """Links among candidate pairs (a < b) that have passed the sketches."""
-        pairs = staged(pairs, "pairs")
-        sides = pairs.select("a", "b", F.explode(F.array(F.struct(F.col("a").alias("doc_id"), F.lit(0).alias("side")), F.struct(F.col("b").alias("doc_id"), F.lit(1).alias("side")))).alias("x"))
-        sides = sides.select("a", "b", "x.doc_id", "x.side")
-        ids = staged(sides.select("doc_id").distinct(), "ids")
-        few = ids.count() <= IDS  # then the other texts aren't shuffled
-        some = texts.join(F.broadcast(ids), "doc_id", "left_semi") if few else texts
-        wanted = packed_texts(some).hint("merge").join(sides, "doc_id").select("a", "b", "side", "packed")
-        return staged(wanted.repartition("a", "b").sortWithinPartitions("a", "b", "side").mapInArrow(_confirm, "a long, b long"), "links")
-
-    def sketched(pairs: DataFrame) -> DataFrame:
-        one, two = (sketches.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in "ab")
-        both = pairs.hint("merge").join(one, "a").hint("merge").join(two, "b").where(f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)")
-        return both.select("a", "b", "sa", "sb").mapInArrow(_alike, _PAIR).distinct()
-
-    # first level: stars in every node of all trees; three choices of pivots, the same for all nodes of a choice
-    members = reps.select(F.posexplode("nodes").alias("turn", "node"), "rep")
-    salt = F.element_at(F.array(*[F.lit(x) for x in _SALTS]), F.col("turn") % len(_SALTS) + 1)
-    sizes = members.groupBy("node", "turn").agg(F.count("*").alias("size"), F.min(F.col("rep").bitwiseXOR(salt)).alias("p")).where("size > 1")
-    sizes = staged(sizes.select("node", F.col("p").bitwiseXOR(salt).alias("pivot")), "sizes")
-    rows = staged(members.hint("merge").join(sizes, "node").select("node", "rep", "pivot"), "rows")
-    ends = F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b")
-    links = confirmed(sketched(rows.where("rep <> pivot").select(*ends).distinct()).select("a", "b"))
-    labels = staged(connected_components(links), "labels")
-    rows, pairs = rows.select("node", "rep"), []
-    for level in range(DEPTH + 1):
-        mine = rows.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select("node", "rep", F.coalesce("component", "rep").alias("label"))
-        key = F.xxhash64("node")
-        by_label = mine.groupBy("node", "label").agg(F.count("*").alias("n"), F.min(F.col("rep").bitwiseXOR(key)).alias("p"))
-        sizes = by_label.groupBy("node").agg(F.sum("n").alias("size"), F.max(F.struct("n", "label")).alias("most"), F.min("p").alias("p"), F.count("*").alias("labels"))
-        sizes = sizes.where("labels > 1").select("node", "size", F.col("p").bitwiseXOR(key).alias("pivot"), F.col("most.label").alias("major"), (F.col("size") - F.col("most.n")).alias("minor"))
-        sizes = staged(sizes, "sizes")
-        nodes, most, strays = sizes.agg(F.count("*"), F.max("size"), F.max(F.when(F.col("size") > LEAF, F.col("minor")))).first()
-        if not nodes:
-            break
-        mine = staged(mine.hint("merge").join(sizes, "node"), "rows")
-        small = mine.where(F.col("size") <= LEAF).join(sketches, "rep").select("node", "rep", "label", "n", "sketch")
-        pairs.append(staged(small.repartition("node").sortWithinPartitions("node").mapInArrow(_leaves, _PAIR).distinct(), "leaves"))
-        if most <= LEAF:
-            break
-        # all but a few are linked: those few, packed, meet every document of the node
-        uneven = mine.where((F.col("size") > LEAF) & (F.col("minor") <= FEW)).join(sketches, "rep")
-        few = uneven.where("label <> major").groupBy("node").agg(F.collect_list(F.struct("rep", "label", "n", "sketch")).alias("few"))  # FEW at most
-        met = uneven.select("node", "rep", "label", "n", "sketch").hint("merge").join(staged(few, "few"), "node").select("rep", "label", "n", "sketch", "few")
-        pairs.append(staged(met.mapInArrow(_meet, _PAIR).distinct(), "met"))
-        if strays <= FEW:
-            break
-        large = mine.where((F.col("size") > LEAF) & (F.col("minor") > FEW))
-        if level == DEPTH:  # whatever is left, exactly
-            other = large.select("node", F.col("rep").alias("b"), F.col("label").alias("other"))
-            stars = large.join(other, "node").where("rep < b and label <> other").select(F.col("rep").alias("a"), "b")
-        else:
-            stars = large.join(labels.select(F.col("node").alias("pivot"), F.col("component").alias("theirs")), "pivot", "left").where(F.coalesce("theirs", "pivot") != F.col("label")).select(*ends)
-            rows = staged(large.join(sketches, "rep").select("node", "rep", "sketch").mapInArrow(_children, "node long, rep long"), "rows")
-        pairs.append(staged(sketched(stars.distinct()), "stars"))
-    rest = staged(reduce(DataFrame.union, pairs).distinct(), "candidates") if pairs else None
-    for turn in range(ROUNDS if pairs else 0):  # only pairs that aren't linked yet need a look at their texts
-        one, two = (labels.select(F.col("node").alias(c), F.col("component").alias(f"l{c}")) for c in "ab")
-        rest = rest.join(one, "a", "left").join(two, "b", "left").where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b", "same")
-        rest = staged(rest, "candidates")
-        if not rest.limit(1).count():
-            break
-        tried = rest.select("a", "b")
-        if turn < ROUNDS - 1:
-            ways = rest.select(F.col("a").alias("doc"), "same", F.col("b").alias("other")).union(rest.select("b", "same", "a"))
-            best = ways.groupBy("doc").agg(F.max(F.struct("same", "other")).alias("x"))
-            tried = best.select(F.least("doc", "x.other").alias("a"), F.greatest("doc", "x.other").alias("b")).distinct()
-        more = confirmed(tried)
-        rest = rest.join(tried, ["a", "b"], "left_anti")
-        if more.limit(1).count():
-            links = links.union(more)
-            labels = staged(connected_components(links), "labels")
-    named = classes.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select("n", "k1", "k2", F.coalesce("component", "rep").alias("component"))
-    named = staged(named, "named")
-    linked = prints.where("n > 0 and doc_id is not null").select("doc_id", "n", "k1", "k2").join(named, ["n", "k1", "k2"]).select("doc_id", "n", "component")
+    reps = usable.groupBy("n", "k1", "k2").agg(F.min(F.struct("doc_id", "file", "offset", "size")).alias("x"), F.first("nodes").alias("nodes"), F.first("sketch").alias("sketch"))
+    reps = staged(reps.select(F.col("x.doc_id").alias("rep"), "n", "k1", "k2", "x.file", "x.offset", "x.size", "nodes", "sketch"), "reps")
+    of = staged(usable.select("doc_id", "n", "k1", "k2").hint("merge").join(reps.select("rep", "n", "k1", "k2"), ["n", "k1", "k2"]).select("doc_id", "n", "rep"), "classes")
+    several = of.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z")  # ids with different texts
+    links = staged(of.join(several, "doc_id").select("a", F.col("rep").alias("b")).where("a < b"), "links")
+    labels = _joined(None, links)
+    known = reps.select("rep", "n", "sketch", "file", "offset", "size")
+    roots = reps.select("rep", F.posexplode("nodes").alias("turn", "node")).select("node", F.floor(F.col("turn") / 2).cast("int").alias("tree"), (F.col("turn") % 2 + 1).cast("int").alias("used"), "rep")
+    for first, last in ((0, FIRST), (FIRST, TREES)):
+        rows = roots.where(F.col("tree").between(first, last - 1))
+        for level in range(EACH):
+            mine = rows.join(labels, "rep", "left").select("node", "tree", "used", "rep", F.coalesce("label", "rep").alias("label"))
+            mixed_nodes = mine.groupBy("node").agg(F.count("*").alias("members"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("node", "members")
+            mine = staged(mine.hint("merge").join(mixed_nodes, "node"), "rows")
+            tiles = F.ceil(F.col("members") * 2 / LEAF).cast("int")
+            small = mine.where(F.col("members") <= LEAF).select("node", F.lit(0).alias("tile"), "rep", "label")
+            large = mine.where(F.col("members") > LEAF)
+            by_label = large.groupBy("node", "label").agg(F.count("*").alias("k"), F.first("members").alias("members"))
+            most = by_label.groupBy("node").agg(F.max(F.struct("k", "label")).alias("most"), F.first("members").alias("members"))
+            most = staged(most.select("node", F.col("most.label").alias("major"), F.ceil((F.col("members") - F.col("most.k")) / FEW).cast("int").alias("blocks")), "majors")
+            blocks = most.agg(F.max("blocks")).first()[0] or 0
+            large = large.withColumn("tile", F.pmod(F.xxhash64("rep"), tiles).cast("int"))
+            strays = large.hint("merge").join(most, "node").where("label <> major").withColumn("block", F.pmod(F.xxhash64("rep", "node"), F.col("blocks")).cast("int"))
+            for block in range(blocks if level == EACH - 1 else min(blocks, 1)) or [None]:
+                parts = [] if block else [small]
+                if block is not None:
+                    several = large if not block else large.join(most.where(F.col("blocks") > block).select("node"), "node", "left_semi")
+                    few = strays.where(F.col("block") == block).select("node", F.explode(F.sequence(F.lit(0), tiles - 1)).alias("tile"), "rep", "label")
+                    parts += [several.select("node", "tile", "rep", "label"), few]
+                tile = parts[0]
+                for part in parts[1:]:
+                    tile = tile.union(part)
+                dealt = tile.hint("merge").join(known, "rep").select(*_TILE).repartition("node", "tile").sortWithinPartitions("node", "tile")
+                links = staged(dealt.mapInArrow(_compared(folder), "a long, b long"), "links")
+                if links.limit(1).count():
+                    labels = _joined(labels, links)
+            if blocks < 2 or level == EACH - 1:
+                break
+            open_nodes = large.join(most.where("blocks > 1").select("node"), "node", "left_semi").join(known, "rep")
+            rows = staged(open_nodes.select("node", "tree", "used", "rep", "sketch").mapInArrow(_children(level), _CHILD).distinct(), "rows")
+    linked = of.join(labels, "rep", "left").select("doc_id", "n", F.coalesce("label", "rep").alias("component"))
     alone = prints.where("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component"))
     return linked.union(alone).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component"), F.lit(True)).alias("kept"))
 
