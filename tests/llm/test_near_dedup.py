@@ -33,7 +33,7 @@ def corpus(rng):
     return docs
 
 
-@pytest.mark.parametrize(("leaf", "few"), [(2048, 64), (8, 4), (3, 2)])
+@pytest.mark.parametrize(("leaf", "few"), [(4096, 64), (8, 4), (3, 2)])
 def test_against_brute_force(spark, monkeypatch, leaf, few):
     monkeypatch.setattr(near_dedup, "LEAF", leaf)  # small leaves send more nodes down the trees
     monkeypatch.setattr(near_dedup, "FEW", few)
@@ -62,14 +62,30 @@ def test_forest():
 
     tokens, asked = np.zeros((50, 64), "<u2"), []
 
-    def similar(i, j):
-        asked.append((i, j))
-        return i % 2 == j % 2
+    def similar(i, others):
+        asked.extend((i, j) for j in others.tolist())
+        return others % 2 == i % 2
 
     links = near_dedup.forest(np.arange(50) + 100, np.full(50, 10), tokens, similar)
-    assert len(links) == 48 and all(a % 2 == b % 2 for a, b in links) and len({tuple(sorted(p)) for p in asked}) == len(asked)
+    assert sorted(links) == sorted((100 + k % 2, 100 + k) for k in range(2, 50)) and len({tuple(sorted(p)) for p in asked}) == len(asked)
     assert near_dedup.forest(np.full(50, 7), np.full(50, 10), tokens, similar) == []
-    assert near_dedup.forest(np.arange(2), np.array([10, 20]), tokens[:2], lambda i, j: True) == []  # sizes alone rule it out
+    assert near_dedup.forest(np.arange(2), np.array([10, 20]), tokens[:2], similar) == []  # sizes alone rule it out
+
+
+def test_one_against_many():
+    """The pass over all of a tile finds what pair by pair comparison finds."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 62, 60).astype(np.uint64)
+    sets = [np.unique(np.where(rng.random(60) < 0.8 + 0.01 * (k % 20), base, rng.integers(0, 1 << 62, 60).astype(np.uint64))) for k in range(40)]
+    tile = near_dedup._Tile(lambda k: sets[k], [(k,) for k in range(40)], np.array([len(x) for x in sets]))
+    others = np.arange(1, 40)
+    one = np.concatenate([tile.similar(0, others[k : k + 1]) for k in range(39)])
+    assert tile._mark is None and 0 < one.sum() < 39
+    assert (tile.similar(0, others) == one).all() and tile._mark is not None
+    x = set(sets[0].tolist())
+    assert one.tolist() == [4 * len(x & set(s.tolist())) >= 3 * len(x | set(s.tolist())) for s in sets[1:]]
 
 
 def test_sets_and_tokens():

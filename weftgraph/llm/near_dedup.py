@@ -5,8 +5,8 @@ id, so copies cost nothing more. Every representative has 64 minwise tokens; ``T
 coordinates, so trees are independent of each other, while the branches of one tree share its coordinates. A node's path
 is a set of (coordinate, token) choices; every node chooses two of its tree's coordinates that its path hasn't got, and
 a document goes to the children that its own tokens name. Two documents of Jaccard similarity 0.75 share a root's child
-in one tree with probability 1 - 0.25**2, so eight trees miss them there with probability 3e-10; at any depth a branch
-survives in one tree with probability over 0.72, so hot nodes miss a pair with probability under 4e-5.
+in one tree with probability 1 - 0.25**2, so six trees miss them there with probability 6e-8; three levels down, where
+the hottest nodes are taken apart, a tree misses them with probability under 0.18 and six with under 4e-5.
 
 At every level
 
@@ -18,7 +18,8 @@ At every level
 
 A tile gives links and not pairs: the labels (components so far) of its documents, found by set sizes (exact) and sketches
 (``AGREE`` of 64 tokens of 16 bits), are joined likeliest pair first, each confirmed on the full shingle sets of the whole
-texts, and pairs within one label aren't looked at any more. So a tile's rows are a forest, fewer than its documents.
+texts, and pairs within one label aren't looked at any more. So a tile's rows are a forest, fewer than its documents;
+each label is linked with the least one that it meets, so that components need few rounds.
 Texts are read from the shared folder by file and offset, only where a tile has a candidate for them.
 The first ``FIRST`` trees run before the others, which then meet hardly any node of more than one label.
 """
@@ -34,12 +35,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import BlobReader, BlobWriter, bounded, connected_components, shared_dir, staged, table
 
-WORDS, PERCENT, TREES, EACH, FIRST, LEAF, FEW, CHUNK = 5, 75, 8, 8, 2, 2048, 64, 1 << 18
-COORDINATES = TREES * EACH
+WORDS, PERCENT, TREES, EACH, FIRST, LEAF, FEW, CHUNK = 5, 75, 6, 10, 2, 4096, 64, 1 << 18
+COORDINATES = 64
 #: Of COORDINATES tokens at least so many must agree: a pair at 75 % falls short with probability 3e-5.
 AGREE = 34
 #: Shingles of all sets that a task keeps at a time, besides the two it compares.
 SETS = 1 << 21
+#: A document with so many candidates in its tile is compared with all of them at once.
+MANY = 8
 
 _RANDOM = np.random.default_rng(20240607)
 _BYTE = _RANDOM.integers(0, 2**64, 256, np.uint64)
@@ -161,27 +164,60 @@ class _Sets:
         return self._kept[key]
 
 
+class _Tile:
+    """Exact comparisons within one tile, of documents by position."""
+
+    def __init__(self, sets: _Sets, places: list[tuple], n: np.ndarray):
+        self._sets, self._places, self._n = sets, places, n
+        self._mark = self._flat = self._starts = None
+
+    def _number(self) -> None:
+        """Shingles of all documents as small numbers: where they fit, a document meets all others in one pass."""
+        every = [self._sets(*p) for p in self._places]
+        names, self._flat = np.unique(np.concatenate(every), return_inverse=True)
+        self._starts, self._mark = np.cumsum([0, *map(len, every[:-1])]), np.zeros(len(names), bool)
+
+    def similar(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Which of ``others`` share enough of the union."""
+        if len(others) >= MANY and self._mark is None and self._n.sum() <= SETS:
+            self._number()
+        if len(others) >= MANY and self._mark is not None:
+            own = self._flat[self._starts[i] : self._starts[i] + self._n[i]]
+            self._mark[own] = True
+            both = np.add.reduceat(self._mark[self._flat], self._starts, dtype=np.int64)[others]
+            self._mark[own] = False
+        else:
+            x = self._sets(*self._places[i])
+            both = np.array([len(np.intersect1d(x, self._sets(*self._places[j]), assume_unique=True)) for j in others.tolist()])
+        return 100 * both >= PERCENT * (self._n[i] + self._n[others] - both)
+
+
 def forest(label: np.ndarray, n: np.ndarray, tokens: np.ndarray, similar) -> list[tuple[int, int]]:
-    """Links between the labels of one tile that join all that candidates join; ``similar(i, j)`` confirms a pair."""
+    """Links between the labels of one tile that join all that candidates join, each label with the least it meets.
+
+    ``similar(i, others)`` confirms candidates of document ``i``.
+    """
     names, of = np.unique(label, return_inverse=True)
-    root, out = np.arange(len(names)), []
+    root = np.arange(len(names))  # the least label joined with each, as names are sorted
     minor = of != np.bincount(of).argmax()  # holds one side of every pair that isn't linked
-    rows = np.flatnonzero(minor)
+    rows, columns = np.flatnonzero(minor), np.ascontiguousarray(tokens.T)
     for block in np.array_split(rows, 1 + len(rows) // 64):
-        block = block[(root[of[block]][:, None] != root[of][None]).any(1)] if len(block) else block
-        if not len(block):
-            continue
-        same = (tokens[block][:, None] == tokens[None]).sum(2, dtype=np.uint8)
-        i, j = np.nonzero(same >= AGREE)
-        same, i = same[i, j], block[i]
-        ok = (root[of[i]] != root[of[j]]) & (~minor[j] | (j > i)) & (100 * np.minimum(n[i], n[j]) >= PERCENT * np.maximum(n[i], n[j]))
-        order = np.argsort(-same[ok].astype(np.int16), kind="stable")
-        for x, y in zip(i[ok][order].tolist(), j[ok][order].tolist()):
-            a, b = root[of[x]], root[of[y]]
-            if a != b and similar(x, y):
-                root[root == b] = a
-                out.append((int(label[x]), int(label[y])))
-    return out
+        same = np.zeros((len(block), len(of)), np.uint8)
+        for one in columns:
+            same += one[block][:, None] == one[None]
+        for i, agree in zip(block.tolist(), same):
+            j = np.flatnonzero(agree >= AGREE)
+            j = j[(~minor[j] | (j > i)) & (root[of[j]] != root[of[i]]) & (100 * np.minimum(n[i], n[j]) >= PERCENT * np.maximum(n[i], n[j]))]
+            if len(j) < MANY:  # likeliest first, and no more than are needed
+                parts = [j[k : k + 1] for k in np.argsort(-agree[j].astype(np.int16), kind="stable")]
+            else:
+                parts = [j]
+            for part in parts:
+                part = part[root[of[part]] != root[of[i]]]
+                for r in np.unique(root[of[part[similar(i, part)]]]).tolist() if len(part) else []:
+                    low, high = sorted((int(root[of[i]]), r))
+                    root[root == high] = low
+    return [(int(names[r]), int(name)) for r, name in zip(root, names) if names[r] != name]
 
 
 _TILE = ["node", "tile", "label", "n", "sketch", "file", "offset", "size"]
@@ -199,15 +235,10 @@ def _compared(folder: str):
                 return []
             places = list(zip(*(rows.column(c).to_pylist() for c in ("file", "offset", "size"))))
 
-            def similar(i: int, j: int) -> bool:
-                x, y = sets(*places[i]), sets(*places[j])
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                return 100 * both >= PERCENT * (len(x) + len(y) - both)
-
-            return forest(label, n, _matrix(rows.column("sketch")), similar)
+            return forest(label, n, _matrix(rows.column("sketch")), _Tile(sets, places, n).similar)
 
         def out(found: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([min(p) for p in found], pa.int64()), pa.array([max(p) for p in found], pa.int64())], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in range(2)], names=["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -257,7 +288,7 @@ def _children(level: int):
 def _joined(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     """(rep, label) after ``links`` between labels have been added."""
     if labels is not None:
-        links = links.union(labels.select("rep", "label"))
+        links = links.union(labels)
     return staged(connected_components(links).select(F.col("node").alias("rep"), F.col("component").alias("label")), "labels")
 
 
@@ -277,13 +308,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     of = staged(usable.select("doc_id", "n", "k1", "k2").hint("merge").join(reps.select("rep", "n", "k1", "k2"), ["n", "k1", "k2"]).select("doc_id", "n", "rep"), "classes")
     several = of.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z")  # ids with different texts
     links = staged(of.join(several, "doc_id").select("a", F.col("rep").alias("b")).where("a < b"), "links")
-    labels = _joined(None, links)
+    labels = _joined(None, links) if links.limit(1).count() else None
     known = reps.select("rep", "n", "sketch", "file", "offset", "size")
     roots = reps.select("rep", F.posexplode("nodes").alias("turn", "node")).select("node", F.floor(F.col("turn") / 2).cast("int").alias("tree"), (F.col("turn") % 2 + 1).cast("int").alias("used"), "rep")
     for first, last in ((0, FIRST), (FIRST, TREES)):
         rows = roots.where(F.col("tree").between(first, last - 1))
         for level in range(EACH):
-            mine = rows.join(labels, "rep", "left").select("node", "tree", "used", "rep", F.coalesce("label", "rep").alias("label"))
+            mine = rows.join(labels, "rep", "left").select("node", "tree", "used", "rep", F.coalesce("label", "rep").alias("label")) if labels else rows.withColumn("label", F.col("rep"))
             mixed_nodes = mine.groupBy("node").agg(F.count("*").alias("members"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("node", "members")
             mine = staged(mine.hint("merge").join(mixed_nodes, "node"), "rows")
             tiles = F.ceil(F.col("members") * 2 / LEAF).cast("int")
@@ -311,7 +342,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             if blocks < 2 or level == EACH - 1:
                 break
             open_nodes = large.join(most.where("blocks > 1").select("node"), "node", "left_semi").join(known, "rep")
-            rows = staged(open_nodes.select("node", "tree", "used", "rep", "sketch").mapInArrow(_children(level), _CHILD).distinct(), "rows")
+            rows = open_nodes.select("node", "tree", "used", "rep", "sketch").mapInArrow(_children(level), _CHILD).distinct()
+    labels = labels if labels else of.select("rep", F.col("rep").alias("label")).where("false")
     linked = of.join(labels, "rep", "left").select("doc_id", "n", F.coalesce("label", "rep").alias("component"))
     alone = prints.where("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component"))
     return linked.union(alone).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component"), F.lit(True)).alias("kept"))
