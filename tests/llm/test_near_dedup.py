@@ -78,7 +78,7 @@ def test_one_against_many():
 
     rng = np.random.default_rng(5)
     base = rng.integers(0, 1 << 62, 60).astype(np.uint64)
-    sets = [np.unique(np.where(rng.random(60) < 0.8 + 0.01 * (k % 20), base, rng.integers(0, 1 << 62, 60).astype(np.uint64))) for k in range(40)]
+    sets = [np.unique(np.where(rng.random(60) < 0.9 + 0.005 * (k % 20), base, rng.integers(0, 1 << 62, 60).astype(np.uint64))) for k in range(40)]
     tile = near_dedup._Tile(lambda k: sets[k], [(k,) for k in range(40)], np.array([len(x) for x in sets]))
     others = np.arange(1, 40)
     one = np.concatenate([tile.similar(0, others[k : k + 1]) for k in range(39)])

@@ -310,11 +310,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = staged(of.join(several, "doc_id").select("a", F.col("rep").alias("b")).where("a < b"), "links")
     labels = _joined(None, links) if links.limit(1).count() else None
     known = reps.select("rep", "n", "sketch", "file", "offset", "size")
-    roots = reps.select("rep", F.posexplode("nodes").alias("turn", "node")).select("node", F.floor(F.col("turn") / 2).cast("int").alias("tree"), (F.col("turn") % 2 + 1).cast("int").alias("used"), "rep")
     for first, last in ((0, FIRST), (FIRST, TREES)):
-        rows = roots.where(F.col("tree").between(first, last - 1))
+        roots = reps.select("rep", F.slice("nodes", 2 * first + 1, 2 * (last - first)).alias("nodes"))
+        roots = roots.join(labels, "rep", "left") if labels else roots.withColumn("label", F.lit(None).cast("long"))
+        rows = roots.select("rep", "label", F.posexplode("nodes").alias("turn", "node"))
+        rows = rows.select("node", (F.floor(F.col("turn") / 2) + first).cast("int").alias("tree"), (F.col("turn") % 2 + 1).cast("int").alias("used"), "rep", "label")
+        inner = known
         for level in range(EACH):
-            mine = rows.join(labels, "rep", "left").select("node", "tree", "used", "rep", F.coalesce("label", "rep").alias("label")) if labels else rows.withColumn("label", F.col("rep"))
+            mine = rows if not level else rows.join(labels, "rep", "left") if labels else rows.withColumn("label", F.lit(None).cast("long"))
+            mine = mine.select("node", "tree", "used", "rep", F.coalesce("label", "rep").alias("label"))
             mixed_nodes = mine.groupBy("node").agg(F.count("*").alias("members"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("node", "members")
             mine = staged(mine.hint("merge").join(mixed_nodes, "node"), "rows")
             tiles = F.ceil(F.col("members") * 2 / LEAF).cast("int")
@@ -335,13 +339,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
                 tile = parts[0]
                 for part in parts[1:]:
                     tile = tile.union(part)
-                dealt = tile.hint("merge").join(known, "rep").select(*_TILE).repartition("node", "tile").sortWithinPartitions("node", "tile")
+                dealt = tile.hint("merge").join(inner, "rep").select(*_TILE).repartition("node", "tile").sortWithinPartitions("node", "tile")
                 links = staged(dealt.mapInArrow(_compared(folder), "a long, b long"), "links")
                 if links.limit(1).count():
                     labels = _joined(labels, links)
             if blocks < 2 or level == EACH - 1:
                 break
-            open_nodes = large.join(most.where("blocks > 1").select("node"), "node", "left_semi").join(known, "rep")
+            open_nodes = large.join(most.where("blocks > 1").select("node"), "node", "left_semi")
+            inner = staged(inner.hint("merge").join(open_nodes.select("rep").distinct(), "rep", "left_semi"), "open")
+            open_nodes = open_nodes.join(inner, "rep")
             rows = open_nodes.select("node", "tree", "used", "rep", "sketch").mapInArrow(_children(level), _CHILD).distinct()
     labels = labels if labels else of.select("rep", F.col("rep").alias("label")).where("false")
     linked = of.join(labels, "rep", "left").select("doc_id", "n", F.coalesce("label", "rep").alias("component"))
