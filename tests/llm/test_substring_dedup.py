@@ -1,10 +1,13 @@
+import os
 import random
 
+import numpy as np
 import pytest
 from brute import prose, removed
 from pyspark.sql import functions as F
 
-from weftgraph.llm.substring_dedup import anchors, cut_documents, dedup_report, first_sources, keep_bytes, segments, spans
+from weftgraph.llm import substring_dedup
+from weftgraph.llm.substring_dedup import anchors, cut_documents, dedup_report, keep_bytes, longest_previous_factors, repeated_windows, segments, spans, suffix_order
 
 
 def corpus(rng):
@@ -56,13 +59,43 @@ def test_parts():
     for i in range(0, len(text) - 120, 7):  # equal windows have equal anchors wherever they stand
         a = anchors(text)[0][i]
         assert anchors(b"zz" + text[i : i + 60])[0][2] == a
-    pieces, owner = [text[:70], text[10:90], b"\xff" * 60], [9, 4, 7]
-    import numpy as np
-
-    firsts = first_sources(pieces, np.array(owner))
+    pieces, owner = [text[:70], text[10:90], b"\xff" * 60, b"short"], [9, 4, 7, 1]
     table = {}
     for p, o in zip(pieces, owner):
         for i in range(len(p) - 49):
             table[p[i : i + 50]] = min(o, table.get(p[i : i + 50], 99))
-    assert [f.tolist() for f in firsts] == [[table[p[i : i + 50]] for i in range(len(p) - 49)] for p in pieces]
-    assert spans([(5, 9), (1, 3), (3, 4), (8, 12)]) == [(1, 4), (5, 12)] and keep_bytes(b"0123456789abcd", [(1, 4), (5, 12)]) == b"04cd"
+    gone = repeated_windows(pieces, np.array(owner))
+    assert [g.tolist() for g in gone] == [[table[p[i : i + 50]] < o for i in range(len(p) - 49)] for p, o in zip(pieces, owner)]
+    assert any(gone[0]) and not any(gone[1])
+    place = np.array([3, 3, 3, 3, 8])
+    assert spans(place, np.array([5, 1, 3, 8, 2]), np.array([9, 3, 4, 12, 4])) == {3: [(1, 4), (5, 12)], 8: [(2, 4)]} and keep_bytes(b"0123456789abcd", [(1, 4), (5, 12)]) == b"04cd"
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_longest_previous_factors(seed):
+    """Order, LCP and LPF against their definitions."""
+    rng = random.Random(seed)
+    length = 16
+    pieces = [bytes(rng.choice(b"ab" if seed % 2 else b"abc") for _ in range(rng.randrange(10, 60))) for _ in range(8)] + [b"a" * 40] * 2
+    owner = np.array([rng.randrange(5) for _ in pieces])
+    piece, order, lcp, counts = suffix_order(pieces, length)
+    suffix = [(k, p[i : i + length]) for k, p in enumerate(pieces) for i in range(len(p) - length + 1)]
+    assert piece.tolist() == [k for k, _ in suffix] and counts.tolist() == [max(0, len(p) - length + 1) for p in pieces]
+    common = lambda x, y: len(os.path.commonprefix([x, y]))
+    in_order = [suffix[i] for i in order]
+    assert [x for _, x in in_order] == sorted(x for _, x in suffix)
+    assert lcp.tolist() == [0] + [common(a[1], b[1]) for a, b in zip(in_order, in_order[1:])]
+    expected = [max((common(x, y) for j, y in in_order if owner[j] < owner[k]), default=0) for k, x in in_order]
+    assert longest_previous_factors(owner[piece[order]], lcp, 1).tolist() == expected
+    assert longest_previous_factors(owner[piece[order]], lcp, length).tolist() == [x if x >= length else 0 for x in expected]
+
+
+def test_long_text(spark, monkeypatch):
+    """A text longer than a batch, whose passages come again; and a hot passage that is dealt by windows."""
+    rng = random.Random(8)
+    monkeypatch.setattr(substring_dedup, "BATCH_BYTES", 1 << 16)
+    long, passage = prose(rng, 60_000), prose(rng, 12)
+    docs = {5: long, 3: long[1000:1400], 9: "x" + long[200_000:203_000] + "y"} | {100 + i: prose(rng, 3) + passage + prose(rng, 2) for i in range(40)}
+    assert len(long) > 4 << 16
+    got = {r["doc_id"]: r["n_removed"] for r in dedup_report(spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(3), hot=20).collect()}
+    assert got == {d: x[1] for d, x in removed(docs).items()} and got[5] and got[9] == 3000

@@ -1,11 +1,11 @@
-"""Operator 10: substring dedup by equal windows in buckets, in place of longest-previous-factor arrays.
+"""Operator 10: substring dedup by longest-previous-factor arrays over bucketed suffix orders.
 
 A byte goes if it lies in a ``LENGTH``-byte string that also starts in a document with a smaller id. Let LPF[p] be the
 longest match of the suffix at ``p`` with a suffix of a smaller-id document; the string at ``p`` goes if LPF[p] >= LENGTH.
-Matches beyond LENGTH change nothing, so no LPF array, LCP or smaller neighbour is computed: windows of LENGTH bytes are
-sorted, equal ones form a block, and every position but those of the block's least id goes.
+In suffix order the longest such match is one of two: with the previous or with the next suffix of a smaller owner, and
+its length is the least LCP on the way there. Longer matches change nothing, so order and LCP are capped at LENGTH bytes.
 
-To spread the windows over many machines:
+To spread the suffixes over many machines:
 
 1. texts are read once and written in compressed batches to the shared folder; later passes read a batch by file and
    offset, so whole texts are never shuffled. Copies of a whole text are one text, that of the least id (the others go
@@ -13,17 +13,20 @@ To spread the windows over many machines:
 2. of each window of LENGTH bytes the *anchor* is its least hashed ``GRAM``-byte gram, so equal windows have equal anchors
    and about every 14th position is an anchor. A batch sends each distinct anchor once with its number of texts, packed,
    to the anchor's bucket, which answers with those that are in more than one text;
-3. the consecutive windows of one shared anchor are one short segment. Batches send them, packed, to the anchor's bucket,
-   which makes equal ones one with the least id, sorts the windows of its segments and answers with spans;
-4. an anchor in more than ``HOT`` texts (a passage in a third of all documents has as many edges) is not dealt to one
-   task: its windows are grouped by a 128-bit hash instead, with map-side combine;
-5. each batch merges the spans of its texts.
+3. the consecutive windows of one shared anchor are one short segment. A batch sends each distinct segment once, with the
+   least id that has it in the batch, to the anchor's bucket. The segments of a *hot* anchor (in more than ``HOT`` texts)
+   are sent as single windows, each to a bucket of its own hash, so that a passage in a third of all documents is dealt
+   over all buckets, and costs one row a batch and window. Where a segment occurs in its batch goes to the shared folder;
+4. a bucket makes equal segments one of the least id, puts their suffixes in order, and derives LCP, previous and next
+   smaller owners and LPF. It answers with the windows of which LPF >= LENGTH;
+5. each batch turns the answers into the spans of its texts: what isn't the batch's first occurrence goes, and what is
+   goes where the bucket says so.
 """
 
 from __future__ import annotations
 
 import hashlib
-import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,10 +35,10 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import shared_dir, shuffle_parts, staged, table, uri_filesystem
+from .common import BlobReader, BlobWriter, bounded, shared_dir, shuffle_parts, staged, table
 from .near_dedup import mixed
 
-LENGTH, GRAM, HOT, BUCKET_BYTES = 50, 24, 5000, 32 << 20
+LENGTH, GRAM, HOT, BUCKET_BYTES = 50, 24, 5000, 8 << 20
 BATCH_BYTES, BATCH_DOCS = 4 << 20, 4096
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
@@ -66,35 +69,64 @@ def segments(text: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray,
     return anchor[starts], starts, np.concatenate((starts[1:], [len(anchor)]))
 
 
-def suffix_blocks(pieces: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The windows of ``pieces`` in suffix order: which piece, which block (LCP with the last one >= length), counts.
+def suffix_order(pieces: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The suffixes of ``pieces`` that have ``length`` bytes or more, sorted by that many; equal ones as they come.
 
-    Returns the piece of each window in text order, the block of each and the windows of each piece.
+    Returns the piece of each suffix in text order, the sorted order of the suffixes, the LCP of each sorted one with the
+    one before it (capped at ``length``) and the number of suffixes of each piece.
     """
-    counts = np.array([len(p) - length + 1 for p in pieces], np.int64)
-    text = np.frombuffer(b"".join(pieces) + b"\0" * 8, np.uint8)
-    ends = np.cumsum([len(p) for p in pieces])
+    sizes = np.array([len(p) for p in pieces], np.int64)
+    counts = np.maximum(sizes - length + 1, 0)
+    text = b"".join(pieces) + b"\0" * 8
     piece = np.repeat(np.arange(len(pieces)), counts)
-    first = np.concatenate(([0], np.cumsum(counts)[:-1]))
-    at = np.arange(len(piece)) - first[piece] + (ends - np.array([len(p) for p in pieces]))[piece]
-    word = np.ndarray((len(text) - 7,), ">u8", text.tobytes(), 0, (1,))
-    keys = [word[at + min(k, length - 8)].astype(np.uint64) for k in range(0, length, 8)]
-    order = np.lexsort(keys[::-1])
-    new = np.zeros(len(order), bool)
-    new[:1] = True
-    for k in keys:
-        new[1:] |= k[order[1:]] != k[order[:-1]]
-    block = np.empty(len(order), np.int64)
-    block[order] = np.cumsum(new) - 1
-    return piece, block, counts
-
-
-def first_sources(pieces: list[bytes], owner: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
-    """For every window of every piece the least owner of an equal window (length-capped LPF as an id)."""
-    piece, block, counts = suffix_blocks(pieces, length)
-    least = np.full(block.max() + 1, np.iinfo(np.int64).max)
-    np.minimum.at(least, block, owner[piece])
-    return np.split(least[block], np.cumsum(counts)[:-1])
+    at = np.arange(len(piece)) + (np.cumsum(sizes) - sizes - np.cumsum(counts) + counts)[piece]
+    word = np.ndarray((len(text) - 7,), ">u8", text, 0, (1,))
+    offsets = [min(k, length - 8) for k in range(0, length, 8)]
+    order = np.lexsort([word[at + k].astype(np.uint64) for k in reversed(offsets)])
+    at = at[order]
+    lcp, equal = np.full(len(order), length, np.int64), np.ones(max(0, len(order) - 1), bool)
+    lcp[:1] = 0
+    for k in offsets:
+        key = word[at + k].astype(np.uint64)
+        here = np.flatnonzero(equal & (key[1:] != key[:-1]))
+        x = key[here + 1] ^ key[here]
+        lcp[here + 1] = k + sum((x < np.uint64(1 << (64 - 8 * i))).astype(np.int64) for i in range(1, 8))
+        equal[here] = False
+    return piece, order, lcp, counts
+
+
+def _previous_factor(owner: np.ndarray, lcp: np.ndarray, least: int) -> np.ndarray:
+    """For suffixes in order the LCP with the last one before of a smaller owner, 0 where below ``least``.
+
+    Pointers to the last smaller one jump over each other's spans, each with the least LCP of the span it has passed.
+    """
+    to, passed, open_ = np.arange(len(owner)) - 1, lcp.copy(), np.arange(1, len(owner))
+    while True:
+        open_ = open_[(to[open_] >= 0) & (passed[open_] >= least)]
+        open_ = open_[owner[to[open_]] >= owner[open_]]
+        if not len(open_):
+            break
+        over = to[open_]
+        to[open_], passed[open_] = to[over], np.minimum(passed[open_], passed[over])
+    return np.where((to >= 0) & (passed >= least), passed, 0)
+
+
+def longest_previous_factors(owner: np.ndarray, lcp: np.ndarray, least: int = LENGTH) -> np.ndarray:
+    """LPF of the suffixes in order: their longest match with a suffix of a smaller owner, 0 where shorter than ``least``."""
+    after = np.concatenate((lcp[:1] * 0, lcp[1:][::-1]))
+    return np.maximum(_previous_factor(owner, lcp, least), _previous_factor(owner[::-1], after, least)[::-1])
+
+
+def repeated_windows(pieces: list[bytes], owner: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
+    """For every window of every piece whether its LPF reaches ``length``."""
+    by = np.argsort(owner, kind="stable")  # equal suffixes come by owner, so that pointers are short
+    piece, order, lcp, counts = suffix_order([pieces[k] for k in by.tolist()], length)
+    gone = np.empty(len(order), bool)
+    gone[order] = longest_previous_factors(owner[by][piece[order]], lcp, length) >= length
+    out: list = [None] * len(pieces)
+    for k, x in zip(by.tolist(), np.split(gone, np.cumsum(counts)[:-1])):
+        out[k] = x
+    return out
 
 
 def reduced(anchor: np.ndarray) -> np.ndarray:
@@ -122,54 +154,27 @@ def _column(batch: pa.RecordBatch, name: str) -> list:
 def _write_batches(folder: str, more: bool):
     """Rows (doc_id, text[, more]) to (file, offset, size, pos, at, n_bytes, doc_id, own[, more])."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, top = uri_filesystem(folder)
-        name, out, offset = f"{uuid.uuid4().hex}.zst", None, 0  # no other attempt has the name
-        press = zstandard.ZstdCompressor(level=3)
-        try:
+        with BlobWriter(folder) as blobs:
             for batch in batches:
-                texts, start = batch.column(1).to_pylist(), 0
-                while start < len(texts):
-                    stop, total, data = start, 0, []
-                    while stop < len(texts) and stop - start < BATCH_DOCS and total < BATCH_BYTES:
-                        data.append((texts[stop] or "").encode())
-                        total += len(data[-1])
-                        stop += 1
-                    if out is None:
-                        fs.create_dir(top, recursive=True)
-                        out = fs.open_output_stream(f"{top}/{name}", compression=None)
-                    blob = press.compress(b"".join(data))
-                    out.write(blob)
-                    k, sizes = stop - start, np.array([len(x) for x in data], np.int64)
-                    at = np.cumsum(sizes) - sizes
-                    columns = [
-                        pa.array([name] * k), pa.array([offset] * k, pa.int64()), pa.array([len(blob)] * k, pa.int64()), pa.array(range(k), pa.int32()), pa.array(at), pa.array([None if texts[start + i] is None else int(n) for i, n in enumerate(sizes)], pa.int64()),
-                        batch.column(0).slice(start, k), pa.array([hashlib.sha256(x).digest() for x in data], pa.binary()),
-                    ]
-                    names = ["file", "offset", "size", "pos", "at", "n_bytes", "doc_id", "own"]
-                    if more:
-                        columns, names = [*columns, batch.column(2).slice(start, k)], [*names, "more"]
-                    yield pa.RecordBatch.from_arrays(columns, names=names)
-                    offset += len(blob)
-                    start = stop
-        finally:
-            if out is not None:
-                out.close()
+                for part in bounded(batch, 1, BATCH_BYTES):
+                    for start in range(0, part.num_rows, BATCH_DOCS):
+                        rows = part.slice(start, BATCH_DOCS)
+                        texts, k = rows.column(1).to_pylist(), rows.num_rows
+                        data = [(t or "").encode() for t in texts]
+                        sizes = np.array([len(x) for x in data], np.int64)
+                        file, offset, size = blobs.add(b"".join(data))
+                        columns = [
+                            pa.array([file] * k), pa.array([offset] * k, pa.int64()), pa.array([size] * k, pa.int64()), pa.array(range(k), pa.int32()), pa.array(np.cumsum(sizes) - sizes), pa.array([None if t is None else int(n) for t, n in zip(texts, sizes)], pa.int64()),
+                            rows.column(0), pa.array([hashlib.sha256(x).digest() for x in data], pa.binary()),
+                        ]
+                        names = ["file", "offset", "size", "pos", "at", "n_bytes", "doc_id", "own"]
+                        if more:
+                            columns, names = [*columns, rows.column(2)], [*names, "more"]
+                        yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 
 
-class _Texts:
-    """Reads batches back by file, offset and size."""
-
-    def __init__(self, folder: str):
-        self._fs, self._top = uri_filesystem(folder)
-        self._press = zstandard.ZstdDecompressor()
-
-    def read(self, file: str, offset: int, size: int) -> bytes:
-        with self._fs.open_input_file(f"{self._top}/{file}") as f:
-            return self._press.decompress(f.read_at(size, offset))
-
-
 def _live(docs: list[dict]) -> list[dict]:
     return [d for d in docs if d["live"]]
 
@@ -181,7 +186,7 @@ _KEYS = "bucket int, file string, offset long, keys binary, counts binary"
 
 def _send_anchors(folder: str, n: int, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts = _Texts(folder)
+        texts = BlobReader(folder)
         for batch in batches:
             for file, offset, size, docs in zip(*(_column(batch, c) for c in ("file", "offset", "size", "docs"))):
                 if not (docs := _live(docs)):
@@ -249,13 +254,16 @@ def _split(by: np.ndarray, *values: np.ndarray) -> tuple:
 # -- segments and their suffix order -----------------------------------------------------------------------------------
 
 
-def _chosen(folder: str, length: int, which: str):
-    """For each batch: file, offset, its live texts and, of each, the segments whose anchors are named in ``which``."""
-    def run(batch: pa.RecordBatch, texts: _Texts) -> Iterator[tuple]:
-        for file, offset, size, docs, named in zip(*(_column(batch, c) for c in ("file", "offset", "size", "docs", which))):
-            wanted = np.unique(np.concatenate([_unfive(x) for x in named])) if any(named) else np.empty(0, np.uint64)
+def _chosen(folder: str, length: int):
+    """For each batch: file, offset, and of each live text the segments whose anchors are shared, with whether that is hot."""
+    def run(batch: pa.RecordBatch, texts: BlobReader) -> Iterator[tuple]:
+        for file, offset, size, docs, *named in zip(*(_column(batch, c) for c in ("file", "offset", "size", "docs", "shared", "hot"))):
+            parts = [np.concatenate([np.empty(0, np.uint64), *map(_unfive, x)]) for x in named]
+            wanted = np.concatenate(parts)
             if not len(wanted):
                 continue
+            order = np.argsort(wanted)
+            wanted, is_hot = wanted[order], (np.arange(len(wanted)) >= len(parts[0]))[order]
             data, out = texts.read(file, offset, size), []
             for d in _live(docs):
                 text = data[d["at"] : d["at"] + d["n_bytes"]]
@@ -264,104 +272,106 @@ def _chosen(folder: str, length: int, which: str):
                 at = np.minimum(np.searchsorted(wanted, keys), len(wanted) - 1)
                 mask = wanted[at] == keys
                 if mask.any():
-                    out.append((d, text, keys[mask], starts[mask], ends[mask]))
+                    out.append((d, text, keys[mask], starts[mask], ends[mask], is_hot[at][mask]))
             yield file, offset, out
 
     return run
 
 
-_PAYLOAD = "bucket int, file string, offset long, payload binary"
+_PAYLOAD = "bucket int, file string, offset long, base long, seen struct<file:string,offset:bigint,size:int>, payload binary"
 
 
 def _send_segments(folder: str, n: int, length: int):
-    """Segments by bucket, packed: ids and positions of their texts, first windows, lengths, bytes."""
-    choose = _chosen(folder, length, "shared")
+    """The distinct segments of each batch by bucket, packed: least ids, lengths, bytes.
+
+    ``seen`` names the place of the batch's occurrences: (piece, pos, start, size), 32-bit numbers sorted by piece;
+    a bucket's pieces are numbered from ``base``.
+    """
+    choose = _chosen(folder, length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts, press = _Texts(folder), zstandard.ZstdCompressor(level=3)
-        for batch in batches:
-            for file, offset, found in choose(batch, texts):
-                by: dict[int, list] = {}
-                for d, text, keys, starts, ends in found:
-                    for b, a, e in zip((keys % np.uint64(n)).tolist(), starts.tolist(), ends.tolist()):
-                        by.setdefault(b, []).append((d["doc_id"], d["pos"], a, text[a : e + length - 1]))
-                rows = []
-                for b, items in by.items():
-                    ids, pos, start, parts = zip(*items)
-                    raw = len(items).to_bytes(4, "little") + np.array(ids, "<i8").tobytes() + np.array([pos, start, [len(x) for x in parts]], "<u4").tobytes() + b"".join(parts)
-                    rows.append((b, file, offset, press.compress(raw)))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.string(), pa.int64(), pa.binary()))], names=["bucket", "file", "offset", "payload"])
+        texts, press = BlobReader(folder), zstandard.ZstdCompressor(level=3)
+        with BlobWriter(folder) as blobs:
+            for batch in batches:
+                for file, offset, found in choose(batch, texts):
+                    number: dict[bytes, int] = {}
+                    ids, buckets, seen = [], [], []
+                    for d, text, keys, starts, ends, hot in found:
+                        doc_id, pos = d["doc_id"], d["pos"]
+                        for b, a, e, h in zip((keys % np.uint64(n)).tolist(), starts.tolist(), ends.tolist(), hot.tolist()):
+                            for start, stop in ((x, x + 1) for x in range(a, e)) if h else ((a, e),):
+                                piece = text[start : stop + length - 1]
+                                k = number.setdefault(piece, len(ids))
+                                if k == len(ids):
+                                    ids.append(doc_id)
+                                    buckets.append(zlib.crc32(piece) % n if h else b)
+                                elif doc_id < ids[k]:
+                                    ids[k] = doc_id
+                                seen.append((k, pos, start, len(piece)))
+                    pieces, bucket, least = list(number), np.array(buckets), np.array(ids, "<i8")
+                    order = np.argsort(bucket, kind="stable")
+                    rank = np.empty(len(order), np.int64)
+                    rank[order] = np.arange(len(order))
+                    places = np.array(seen, np.int64)
+                    places[:, 0] = rank[places[:, 0]]
+                    place = dict(zip(("file", "offset", "size"), blobs.add(places[np.argsort(places[:, 0], kind="stable")].astype("<u4").tobytes())))
+                    rows, base = [], 0
+                    for b, some in zip(*_split(bucket[order], order)):
+                        parts = [pieces[k] for k in some.tolist()]
+                        raw = len(parts).to_bytes(4, "little") + least[some].tobytes() + np.array([len(x) for x in parts], "<u4").tobytes() + b"".join(parts)
+                        rows.append((b, file, offset, base, place, press.compress(raw)))
+                        base += len(parts)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.string(), pa.int64(), pa.int64(), _PLACE, pa.binary()))], names=["bucket", "file", "offset", "base", "seen", "payload"])
 
     return run
 
 
-def _unpack_segments(payload: bytes, press) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+_PLACE = pa.struct([("file", pa.string()), ("offset", pa.int64()), ("size", pa.int32())])
+
+
+def _unpack_segments(payload: bytes, press) -> tuple[np.ndarray, list[bytes]]:
     raw = press.decompress(payload)
     n = int.from_bytes(raw[:4], "little")
-    ids = np.frombuffer(raw, "<i8", n, 4)
-    pos, start, sizes = np.frombuffer(raw, "<u4", 3 * n, 4 + 8 * n).reshape(3, n)
-    at = 4 + 20 * n
-    parts = []
+    ids, sizes = np.frombuffer(raw, "<i8", n, 4), np.frombuffer(raw, "<u4", n, 4 + 8 * n)
+    at, parts = 4 + 12 * n, []
     for k in sizes.tolist():
         parts.append(raw[at : at + k])
         at += k
-    return ids, pos, start, parts
+    return ids, parts
+
+
+_ANSWER = "file string, offset long, base long, pieces int, seen struct<file:string,offset:bigint,size:int>, runs binary"
 
 
 def _lpf(length: int):
-    """(file, offset, spans): of a batch the (pos, start, end) that go, three 32-bit numbers each."""
+    """For each payload the runs (piece, first window, end) that are gone from the batch's first occurrence, three 32-bit numbers each."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdDecompressor()
         for held in _by_bucket(batches):
             number: dict[bytes, int] = {}
             entries = []
             for row in held:
-                ids, pos, start, parts = _unpack_segments(row[3], press)
-                entries.append((ids, pos, start, np.array([number.setdefault(p, len(number)) for p in parts], np.int64)))
+                ids, parts = _unpack_segments(row[5], press)
+                entries.append((ids, np.array([number.setdefault(p, len(number)) for p in parts], np.int64)))
             pieces = list(number)
             owner = np.full(len(pieces), np.iinfo(np.int64).max)
-            for ids, _, _, piece in entries:
+            for ids, piece in entries:
                 np.minimum.at(owner, piece, ids)
-            firsts = first_sources(pieces, owner, length)
-            low, high = (np.array([f(x) for x in firsts]) for f in (np.min, np.max))
+            gone = repeated_windows(pieces, owner, length)
+            runs = []  # of each piece: (first window, end)
+            for x in gone:
+                edge = np.flatnonzero(np.diff(np.concatenate(([False], x, [False])).astype(np.int8)))
+                runs.append(edge.reshape(-1, 2))
+            some = np.array([len(x) > 0 for x in runs])
             rows = []
-            for row, (ids, pos, start, piece) in zip(held, entries):
-                out = []
-                every = high[piece] < ids  # all windows of the segment
-                if every.any():
-                    sizes = np.array([len(pieces[k]) for k in piece[every].tolist()])
-                    out.append(np.stack([pos[every], start[every], start[every] + sizes], 1))
-                for k in np.flatnonzero(~every & (low[piece] < ids)).tolist():
-                    hit = np.flatnonzero(firsts[piece[k]] < ids[k])
-                    edge = np.flatnonzero(np.diff(hit) > 1)
-                    a, b = hit[np.concatenate(([0], edge + 1))], hit[np.concatenate((edge, [len(hit) - 1]))]
-                    out.append(np.stack([np.full(len(a), pos[k]), start[k] + a, start[k] + b + length], 1))
-                if out:
-                    rows.append((row[1], row[2], np.concatenate(out).astype("<u4").tobytes()))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.binary()))], names=["file", "offset", "spans"])
-
-    return run
-
-
-_WINDOWS = "file string, offset long, pos int, at long, doc_id long, w1 long, w2 long"
-
-
-def _windows(folder: str, length: int):
-    """The windows of hot anchors, named by 128 bits of their bytes."""
-    choose = _chosen(folder, length, "hot")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts = _Texts(folder)
-        for batch in batches:
-            for file, offset, found in choose(batch, texts):
-                for d, text, _, starts, ends in found:
-                    at = np.concatenate([np.arange(a, e) for a, e in zip(starts.tolist(), ends.tolist())])
-                    w = np.frombuffer(b"".join(hashlib.blake2b(text[i : i + length], digest_size=16).digest() for i in at.tolist()), "<i8").reshape(-1, 2)
-                    k = len(at)
-                    columns = [pa.array([file] * k), pa.array([offset] * k, pa.int64()), pa.array([d["pos"]] * k, pa.int32()), pa.array(at, pa.int64()), pa.array([d["doc_id"]] * k, pa.int64()), pa.array(w[:, 0]), pa.array(w[:, 1])]
-                    yield pa.RecordBatch.from_arrays(columns, names=["file", "offset", "pos", "at", "doc_id", "w1", "w2"])
+            for row, (ids, piece) in zip(held, entries):
+                out, base = [], row[3]
+                every = owner[piece] < ids  # the piece itself is in a document of smaller id
+                for k in np.flatnonzero(every | some[piece]).tolist():
+                    found = np.array([[0, len(gone[piece[k]])]]) if every[k] else runs[piece[k]]
+                    out.append(np.insert(found, 0, base + k, 1))
+                rows.append((row[1], row[2], base, len(ids), row[4], np.concatenate(out).astype("<u4").tobytes() if out else b""))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.int64(), pa.int32(), _PLACE, pa.binary()))], names=["file", "offset", "base", "pieces", "seen", "runs"])
 
     return run
 
@@ -369,17 +379,43 @@ def _windows(folder: str, length: int):
 # -- the texts that are left -------------------------------------------------------------------------------------------
 
 
-def spans(places: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Overlapping or touching (start, end) merged, in order."""
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(places):
-        if out and a <= out[-1][1]:
-            out[-1] = out[-1][0], max(out[-1][1], b)
-        else:
-            out.append((a, b))
+def spans(place: np.ndarray, start: np.ndarray, end: np.ndarray) -> dict[int, list[tuple[int, int]]]:
+    """By place, the (start, end) merged where they overlap or touch, in order."""
+    if not len(place):
+        return {}
+    high = place.astype(np.int64) << 40
+    order = np.argsort(high + start, kind="stable")
+    first, last = (high + start)[order], np.maximum.accumulate((high + end)[order])
+    at = np.concatenate(([0], np.flatnonzero(first[1:] > last[:-1]) + 1, [len(first)]))
+    out: dict[int, list[tuple[int, int]]] = {}
+    for a, b in zip(first[at[:-1]].tolist(), last[at[1:] - 1].tolist()):
+        out.setdefault(a >> 40, []).append((a & (1 << 40) - 1, b & (1 << 40) - 1))
     return out
 
 
+def _places(answers: list[dict], ids: np.ndarray, texts: BlobReader, length: int) -> dict[int, list[tuple[int, int]]]:
+    """The spans that go, by document of the batch."""
+    found, seen = [], {}
+    for x in answers:
+        key = tuple(x["seen"].values())
+        if key not in seen:
+            seen[key] = np.frombuffer(texts.read(*key), "<u4").reshape(-1, 4).astype(np.int64)
+        a, b = np.searchsorted(seen[key][:, 0], (x["base"], x["base"] + x["pieces"]))
+        piece, pos, start, size = seen[key][a:b].T
+        edges = np.concatenate(([0], np.flatnonzero(np.diff(piece)) + 1))
+        least = np.repeat(np.minimum.reduceat(ids[pos], edges), np.diff(np.concatenate((edges, [len(piece)]))))
+        later = ids[pos] > least  # not the batch's first
+        found.append((pos[later], start[later], (start + size)[later]))
+        run, low, high = np.frombuffer(x["runs"], "<u4").reshape(-1, 3).astype(np.int64).T
+        first = ~later
+        of, pos, start = piece[first], pos[first], start[first]
+        left, right = (np.searchsorted(of, run, side) for side in ("left", "right"))
+        k = np.repeat(np.arange(len(run)), right - left)  # a run for each first occurrence of its piece
+        at = np.arange(len(k)) - np.repeat(np.cumsum(right - left) - (right - left), right - left) + np.repeat(left, right - left)
+        found.append((pos[at], start[at] + low[k], start[at] + high[k] + length - 1))
+    return spans(*map(np.concatenate, zip(*found))) if found else {}
+
+
 def keep_bytes(text: bytes, gone: list[tuple[int, int]]) -> bytes:
     at, out = 0, []
     for a, b in gone:
@@ -390,22 +426,19 @@ def keep_bytes(text: bytes, gone: list[tuple[int, int]]) -> bytes:
 
 
 def _finish(folder: str, length: int, emit):
-    """Calls ``emit(document, text, spans, rest)`` for all documents of each batch and yields what it makes of a list of those."""
+    """Calls ``emit`` with a list of (document, text, spans, rest) for each batch and yields what it makes of it."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts = _Texts(folder)
+        texts = BlobReader(folder)
         for batch in batches:
-            for file, offset, size, docs, found, hot in zip(*(_column(batch, c) for c in ("file", "offset", "size", "docs", "spans", "hits"))):
-                places: dict[int, list] = {}
-                for blob in found or []:
-                    for pos, a, b in np.frombuffer(blob, "<u4").reshape(-1, 3).tolist():
-                        places.setdefault(pos, []).append((a, b))
-                for x in hot or []:
-                    places.setdefault(x["pos"], []).append((x["at"], x["at"] + length))
+            for file, offset, size, docs, answers in zip(*(_column(batch, c) for c in ("file", "offset", "size", "docs", "answers"))):
+                ids = np.array([0 if d["doc_id"] is None else d["doc_id"] for d in docs], np.int64)
+                docs, ids = (list(x) for x in zip(*sorted(zip(docs, ids.tolist()), key=lambda x: x[0]["pos"])))
+                places = _places(answers or [], np.array(ids, np.int64), texts, length)
                 data, out = texts.read(file, offset, size), []
                 for d in docs:
                     n = d["n_bytes"] or 0
                     text = data[d["at"] : d["at"] + n]
-                    gone = [(0, n)] if d["copy"] and n >= length else spans(places.get(d["pos"], []))
+                    gone = [(0, n)] if d["copy"] and n >= length else places.get(d["pos"], [])
                     out.append((d, text, gone, keep_bytes(text, gone) if gone else text))
                 yield emit(out)
 
@@ -413,7 +446,7 @@ def _finish(folder: str, length: int, emit):
 
 
 def _passes(docs: DataFrame, length: int, hot: int, more: list[str]) -> tuple[DataFrame, str]:
-    """``(work, folder)``: a row for each batch with its documents, the spans of its texts and the hits of hot windows."""
+    """``(work, folder)``: a row for each batch with its documents and the buckets' answers."""
     spark, folder = docs.sparkSession, shared_dir(docs.sparkSession, "texts")
     parts = shuffle_parts(spark)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *([F.struct(*[F.col(f"`{c}`") for c in more]).alias("more")] if more else []))
@@ -434,17 +467,10 @@ def _passes(docs: DataFrame, length: int, hot: int, more: list[str]) -> tuple[Da
     sent = lean.repartition(tasks).mapInArrow(_send_anchors(folder, n, length), _KEYS)
     answers = sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_answer_anchors(hot), "file string, offset long, shared binary, hot binary")
     answers = staged(answers.groupBy("file", "offset").agg(F.collect_list("shared").alias("shared"), F.collect_list("hot").alias("hot")), "answers")  # of one batch
-    asked = lean.join(answers, ["file", "offset"])
-    dealt = asked.repartition(tasks).mapInArrow(_send_segments(folder, 4 * n, length), _PAYLOAD)
-    found = dealt.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_lpf(length), "file string, offset long, spans binary")
-    found = staged(found, "spans").groupBy("file", "offset").agg(F.collect_list("spans").alias("spans"))  # of one batch
-    hits = None
-    if answers.where(F.exists("hot", lambda x: F.octet_length(x) > 0)).limit(1).count():
-        one = staged(asked.repartition(tasks).mapInArrow(_windows(folder, length), _WINDOWS), "windows")
-        least = staged(one.groupBy("w1", "w2").agg(F.min("doc_id").alias("least")), "least")
-        hits = one.hint("merge").join(least, ["w1", "w2"]).where("least < doc_id").groupBy("file", "offset").agg(F.collect_list(F.struct("pos", "at")).alias("hits"))  # of one batch
+    dealt = lean.join(answers, ["file", "offset"]).repartition(tasks).mapInArrow(_send_segments(folder, 4 * n, length), _PAYLOAD)
+    found = staged(dealt.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_lpf(length), _ANSWER), "runs")
+    found = found.groupBy("file", "offset").agg(F.collect_list(F.struct("base", "pieces", "seen", "runs")).alias("answers"))  # of one batch
     out = work.join(found, ["file", "offset"], "left")
-    out = out.join(hits, ["file", "offset"], "left") if hits is not None else out.withColumn("hits", F.lit(None).cast("array<struct<pos:int,at:bigint>>"))
     return out.repartition(tasks), folder
 
 
