@@ -4,8 +4,12 @@
 2. near_dedup: of each component of near duplicates the document with the least id stays;
 3. substring_dedup: bytes covered by passages that start in a document with a smaller id are cut out (broken characters
    at the edges go too); a document that loses all its text goes;
-4. mixing: sources are brought to their tempered shares of the token budget, rows may go or repeat;
+4. mixing: sources are brought to their tempered weights; the budget is the least at which every source is written whole
+   once, so no document goes and those of rarer sources repeat, up to four times;
 5. packing: sequences of at most 2048 tokens.
+
+Null texts count as empty and stay; a null id is linked with nothing, cut by nothing and kept; rows with equal ids are kept or
+dropped together in stage 2 and take nothing from each other in stage 3; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -35,7 +39,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mix(docs)
+    return mix(docs, budget=None)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

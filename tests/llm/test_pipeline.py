@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from weftgraph.llm import toxicity as tox
-from weftgraph.llm.mixing import copies
+from weftgraph.llm.mixing import mixture
 
 
 @pytest.fixture(scope="module")
@@ -51,7 +51,11 @@ def test_every_stage(spark, sf):
     assert all(r["n_chars"] is None if r["text"] is None else r["n_chars"] == len(r["text"]) for r in cut.collect())
 
     mixed = stages["mixing"](spark, cut, sf).cache()
-    assert mixed.columns == docs.columns and {r["doc_id"]: r["count"] for r in mixed.groupBy("doc_id").count().collect()} == {r["doc_id"]: r["copies"] for r in copies(cut).where("copies > 0").collect()}
+    placed = mixture(cut, budget=None).where("block is not null").groupBy("doc_id").count()
+    assert mixed.columns == docs.columns and {r["doc_id"]: r["count"] for r in mixed.groupBy("doc_id").count().collect()} == {r["doc_id"]: r["count"] for r in placed.collect()}
+    assert set(texts(mixed)) == set(texts(cut))  # no clean document is left out
+    often = [r["count"] for r in placed.collect()]
+    assert min(often) == 1 and max(often) == 4  # the repetition limit holds the mixture here, as one source has but one document
 
     packed = stages["packing"](spark, mixed, sf)
     rows = packed.collect()
@@ -67,6 +71,12 @@ def test_every_stage(spark, sf):
         assert end <= 2048
 
 
+def test_empty_tables(spark, sf, tmp_path):
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"{sf}/{name}.parquet").where("false").write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, f"file://{tmp_path}").count() == 0
+
+
 def test_run(spark, sf):
     assert corpus_pipeline.ORACLE_SQL is None
     out = corpus_pipeline.run(spark, sf)

@@ -82,7 +82,7 @@ def test_ids_of_long_blank_runs(byte):
 
 
 def test_packing_of_long_blank_runs(spark, byte):
-    docs = [(1, "a" + " " * 1_100_000 + "b"), (2, "\n" * 1_100_000), (3, "c d")]
+    docs = [(1, "a" + " " * 2_000_000 + "b"), (2, "\n" * 2_000_000), (3, "c d"), (4, "x" * 2_000_000), (None, "e f g")]
     rows = pack_documents(spark.createDataFrame(docs, "doc_id long, text string"), P.path("byte_bpe_50k.json")).collect()
     for d, text in docs:
         ids = np.array(byte[1].encode(text, add_special_tokens=False).ids + [0], "<u4")
@@ -92,9 +92,11 @@ def test_packing_of_long_blank_runs(spark, byte):
 
 def test_merges_that_ranks_would_get_wrong():
     vocabulary = {c: i for i, c in enumerate(map(chr, range(256)))}
-    fine = {"model": {"vocab": vocabulary | {"ab": 256, "abc": 257}, "merges": [["a", "b"], ["ab", "c"]]}}
-    wrong = {"model": {"vocab": vocabulary | {"bc": 256, "ab": 257, "abc": 258}, "merges": [["b", "c"], ["a", "b"], ["ab", "c"]]}}
+    split = {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False}}
+    fine = split | {"model": {"vocab": vocabulary | {"ab": 256, "abc": 257}, "merges": [["a", "b"], ["ab", "c"]]}}
+    wrong = split | {"model": {"vocab": vocabulary | {"bc": 256, "ab": 257, "abc": 258}, "merges": [["b", "c"], ["a", "b"], ["ab", "c"]]}}
     assert rank_merges_agree(fine) and not rank_merges_agree(wrong)
+    assert not rank_merges_agree(fine | {"normalizer": {"type": "NFC"}}) and not rank_merges_agree(fine | {"pre_tokenizer": {"type": "Whitespace"}})
 
 
 @settings(max_examples=200, deadline=None)

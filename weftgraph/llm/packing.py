@@ -40,11 +40,17 @@ _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 def rank_merges_agree(spec: dict) -> bool:
-    """Whether merging by least rank gives what the tokenizer's listed merges give, on any text.
+    """Whether splitting by ``PATTERN`` and merging by least rank gives what the tokenizer gives, on any text.
 
+    Its texts must be split byte-level by the usual pattern, not normalised, and its added tokens found as they stand.
     A token's parts are merged in its context as they are alone. So it is enough that every listed merge is the last
     step of its own token: the bytes of the token, merged by rank but for that step, are the two listed parts.
     """
+    split = spec.get("pre_tokenizer") or {}
+    if spec.get("normalizer") or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True) or spec["model"].get("ignore_merges"):
+        return False
+    if any(t.get(k) for t in spec.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip")):
+        return False
     vocabulary = spec["model"]["vocab"]
     for i, pair in enumerate(spec["model"]["merges"]):
         a, b = pair if isinstance(pair, list) else pair.split(" ")
@@ -219,7 +225,7 @@ def places(bins: list[tuple[int, tuple[int, ...]]]) -> dict[int, tuple[list[int]
 
 
 def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """``items`` (doc_id, piece, length, more columns) with ``sequence_id`` and ``offset``; items must be staged.
+    """``items`` (doc_id, piece, start, length, ids_crc32, more columns) with ``sequence_id`` and ``offset``; items must be staged.
 
     Repeated rows are packed one by one; lengths are 1 to ``capacity``; an empty table gives an empty result.
     """
@@ -227,7 +233,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     counts = {r["length"]: r["count"] for r in items.groupBy("length").count().collect()}  # at most `capacity` rows
     shipped = spark.sparkContext.broadcast(places(plan_bins(counts, capacity)))  # bounded by patterns of lengths
     n = 4 * shuffle_parts(spark)
-    keyed = items.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(n)))
+    keyed = items.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(n)))  # rows without id are spread, too
     starts = keyed.groupBy("length", "bucket").count()
     starts = starts.withColumn("first", F.sum("count").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)))
     starts = starts.select("length", "bucket", F.coalesce("first", F.lit(0)).alias("first"))
@@ -251,7 +257,11 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
-    """All documents cut and packed. Texts are read and encoded once; only piece rows are staged and shuffled."""
+    """All documents cut and packed. Texts are read and encoded once; only piece rows are staged and shuffled.
+
+    A null text is the end id alone, a null id is kept, rows of one id are packed one by one, a very long text is encoded
+    as a whole; other columns are not read.
+    """
     return pack(staged(pieces(docs, tokenizer_path, capacity, end_id), "pieces"), capacity)
 
 

@@ -27,10 +27,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import table
+from .common import shuffle_parts, staged, table
 
 TOXIC_ROWS, CLEAN_ROWS, STEMS, STEM_TEST, CUT = 1500, 3000, 20_000, 5.0, 0.3
 SHORTEST, LONGEST = 4, 7
@@ -290,13 +291,21 @@ def held_out(doc_id="doc_id"):
 
 
 def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS) -> Model:
-    """Learns stems and weights. Without usable labels the model knows the seed words alone."""
+    """Learns stems and weights. Without usable labels the model knows the seed words alone.
+
+    Of a label's repeated rows the larger counts, of a document's the text with the least hash. Words of more than 30
+    letters count by their beginnings only, and no more than ``STEMS`` candidate features are tested for stems, those in most
+    toxic texts first: both bound the model, not the documents scored.
+    """
     gold = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
     gold = gold.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     rates = {r["toxic"]: r["count"] for r in gold.groupBy("toxic").count().collect()}
     order = F.xxhash64("doc_id")
     chosen = gold.where("toxic = 1").orderBy(order).limit(toxic_rows).union(gold.where("toxic = 0").orderBy(order).limit(clean_rows))
-    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "toxic")  # bounded by the two row limits
+    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    # of a repeated id the text of the least hash, so the two row limits bound the sample; staged, as it is read four times
+    single = sample.groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("x"))
+    sample = staged(single.repartition(shuffle_parts(docs.sparkSession), "doc_id").select("x.text", "toxic"), "toxicity-sample")
     sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     base = rates.get(1, 0) + 0.5, rates.get(0, 0) + 0.5
@@ -335,9 +344,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with all its columns, without the documents that the model rejects."""
     @F.pandas_udf("double")
-    def scores(texts):
-        one = model.scorer()
-        return texts.map(lambda t: one(t if isinstance(t, str) else None)).astype(float)
+    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        one = model.scorer()  # once for each task
+        for texts in batches:
+            yield texts.map(lambda t: one(t if isinstance(t, str) else None)).astype(float)
 
     return docs.where(scores(F.col("text").cast("string")) < CUT)
 
