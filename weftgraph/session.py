@@ -18,6 +18,32 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+class Scratch:
+    """The staged frames and folders of one run of an operator, so that those which its result doesn't read can go."""
+
+    def __init__(self, spark: SparkSession):
+        self._spark, self._folders = spark, {}
+
+    def folder(self, purpose: str) -> str:
+        path = shared_dir(self._spark, purpose)
+        self._folders[path] = None
+        return path
+
+    def staged(self, df: DataFrame, purpose: str) -> DataFrame:
+        path = self.folder(purpose)
+        df.write.parquet(path)
+        self._folders[path] = out = df.sparkSession.read.schema(df.schema).parquet(path)
+        return out
+
+    def discard(self, *keep: DataFrame | str) -> None:
+        """Deletes all folders but those of ``keep``. What has been written from them must have been written whole."""
+        for path, df in list(self._folders.items()):
+            if not any(x is df or x == path for x in keep if isinstance(x, str) or df is not None):
+                where = self._spark._jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(self._spark._jsc.hadoopConfiguration()).delete(where, True)
+                del self._folders[path]
+
+
 def staged(df: DataFrame, purpose: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: it cuts the lineage."""
     path = shared_dir(df.sparkSession, purpose)
