@@ -12,9 +12,9 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..session import shared_dir, staged
+from ..session import Scratch, shared_dir, staged
 
-__all__ = ["BlobReader", "BlobWriter", "bounded", "connected_components", "shared_dir", "shuffle_parts", "staged", "table", "uri_filesystem"]
+__all__ = ["BlobReader", "BlobWriter", "Scratch", "bounded", "connected_components", "shared_dir", "shuffle_parts", "staged", "table", "uri_filesystem"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -90,7 +90,7 @@ class BlobReader:
         return self._press.decompress(self._open[file].read_at(size, offset))
 
 
-def connected_components(links: DataFrame) -> DataFrame:
+def connected_components(links: DataFrame, staged=staged) -> DataFrame:
     """``(node, component)`` for every node of ``links(a, b)``; component = smallest reachable id.
 
     Alternating large-star and small-star steps to the fixpoint: each round every node hands its smallest neighbour to its

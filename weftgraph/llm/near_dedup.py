@@ -33,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import BlobReader, BlobWriter, bounded, connected_components, shared_dir, staged, table
+from .common import BlobReader, BlobWriter, Scratch, bounded, connected_components, staged, table
 
 WORDS, PERCENT, TREES, EACH, FIRST, LEAF, FEW, CHUNK = 5, 75, 6, 10, 2, 4096, 64, 1 << 18
 COORDINATES = 64
@@ -285,11 +285,14 @@ def _children(level: int):
     return run
 
 
-def _joined(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+def _joined(labels: DataFrame | None, links: DataFrame, staged) -> DataFrame:
     """(rep, label) after ``links`` between labels have been added."""
     if labels is not None:
         links = links.union(labels)
-    return staged(connected_components(links).select(F.col("node").alias("rep"), F.col("component").alias("label")), "labels")
+    scratch = Scratch(links.sparkSession)
+    out = staged(connected_components(links, scratch.staged).select(F.col("node").alias("rep"), F.col("component").alias("label")), "labels")
+    scratch.discard()
+    return out
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -299,7 +302,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     is null and it is kept. Null, empty and blank texts have the empty set and are linked with nothing. A very long text
     is one set like any other. Other columns are not read.
     """
-    folder = shared_dir(docs.sparkSession, "near-texts")
+    scratch = Scratch(docs.sparkSession)
+    staged, folder = scratch.staged, scratch.folder("near-texts")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     prints = staged(texts.mapInArrow(_prints(folder), _PRINT), "prints")
     usable = prints.where("n > 0 and doc_id is not null")
@@ -308,7 +312,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     of = staged(usable.select("doc_id", "n", "k1", "k2").hint("merge").join(reps.select("rep", "n", "k1", "k2"), ["n", "k1", "k2"]).select("doc_id", "n", "rep"), "classes")
     several = of.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z")  # ids with different texts
     links = staged(of.join(several, "doc_id").select("a", F.col("rep").alias("b")).where("a < b"), "links")
-    labels = _joined(None, links) if links.limit(1).count() else None
+    labels = _joined(None, links, staged) if links.limit(1).count() else None
     known = reps.select("rep", "n", "sketch", "file", "offset", "size")
     for first, last in ((0, FIRST), (FIRST, TREES)):
         roots = reps.select("rep", F.slice("nodes", 2 * first + 1, 2 * (last - first)).alias("nodes"))
@@ -342,13 +346,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
                 dealt = tile.hint("merge").join(inner, "rep").select(*_TILE).repartition("node", "tile").sortWithinPartitions("node", "tile")
                 links = staged(dealt.mapInArrow(_compared(folder), "a long, b long"), "links")
                 if links.limit(1).count():
-                    labels = _joined(labels, links)
+                    labels = _joined(labels, links, staged)
             if blocks < 2 or level == EACH - 1:
                 break
             open_nodes = large.join(most.where("blocks > 1").select("node"), "node", "left_semi")
             inner = staged(inner.hint("merge").join(open_nodes.select("rep").distinct(), "rep", "left_semi"), "open")
             open_nodes = open_nodes.join(inner, "rep")
             rows = open_nodes.select("node", "tree", "used", "rep", "sketch").mapInArrow(_children(level), _CHILD).distinct()
+    scratch.discard(prints, of, labels)
     labels = labels if labels else of.select("rep", F.col("rep").alias("label")).where("false")
     linked = of.join(labels, "rep", "left").select("doc_id", "n", F.coalesce("label", "rep").alias("component"))
     alone = prints.where("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component"))

@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import BlobReader, BlobWriter, bounded, shared_dir, shuffle_parts, staged, table
+from .common import BlobReader, BlobWriter, Scratch, bounded, shuffle_parts, table
 from .near_dedup import mixed
 
 LENGTH, GRAM, HOT, BUCKET_BYTES = 50, 24, 5000, 8 << 20
@@ -447,7 +447,8 @@ def _finish(folder: str, length: int, emit):
 
 def _passes(docs: DataFrame, length: int, hot: int, more: list[str]) -> tuple[DataFrame, str]:
     """``(work, folder)``: a row for each batch with its documents and the buckets' answers."""
-    spark, folder = docs.sparkSession, shared_dir(docs.sparkSession, "texts")
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
+    staged, folder = scratch.staged, scratch.folder("texts")
     parts = shuffle_parts(spark)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *([F.struct(*[F.col(f"`{c}`") for c in more]).alias("more")] if more else []))
     fields = [("file", T.StringType()), ("offset", T.LongType()), ("size", T.LongType()), ("pos", T.IntegerType()), ("at", T.LongType()), ("n_bytes", T.LongType()), ("doc_id", T.LongType()), ("own", T.BinaryType())]
@@ -468,8 +469,9 @@ def _passes(docs: DataFrame, length: int, hot: int, more: list[str]) -> tuple[Da
     answers = sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_answer_anchors(hot), "file string, offset long, shared binary, hot binary")
     answers = staged(answers.groupBy("file", "offset").agg(F.collect_list("shared").alias("shared"), F.collect_list("hot").alias("hot")), "answers")  # of one batch
     dealt = lean.join(answers, ["file", "offset"]).repartition(tasks).mapInArrow(_send_segments(folder, 4 * n, length), _PAYLOAD)
-    found = staged(dealt.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_lpf(length), _ANSWER), "runs")
-    found = found.groupBy("file", "offset").agg(F.collect_list(F.struct("base", "pieces", "seen", "runs")).alias("answers"))  # of one batch
+    runs = staged(dealt.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_lpf(length), _ANSWER), "runs")
+    scratch.discard(folder, work, runs)
+    found = runs.groupBy("file", "offset").agg(F.collect_list(F.struct("base", "pieces", "seen", "runs")).alias("answers"))  # of one batch
     out = work.join(found, ["file", "offset"], "left")
     return out.repartition(tasks), folder
 

@@ -31,7 +31,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import shuffle_parts, staged, table
+from .common import Scratch, shuffle_parts, table
 
 TOXIC_ROWS, CLEAN_ROWS, STEMS, STEM_TEST, CUT = 1500, 3000, 20_000, 5.0, 0.3
 SHORTEST, LONGEST = 4, 7
@@ -305,7 +305,8 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clean_
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
     # of a repeated id the text of the least hash, so the two row limits bound the sample; staged, as it is read four times
     single = sample.groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("x"))
-    sample = staged(single.repartition(shuffle_parts(docs.sparkSession), "doc_id").select("x.text", "toxic"), "toxicity-sample")
+    scratch = Scratch(docs.sparkSession)
+    sample = scratch.staged(single.repartition(shuffle_parts(docs.sparkSession), "doc_id").select("x.text", "toxic"), "toxicity-sample")
     sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     base = rates.get(1, 0) + 0.5, rates.get(0, 0) + 0.5
@@ -325,6 +326,7 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clean_
             yield pa.RecordBatch.from_arrays([pa.array([lexicon.features(t.as_py()) for t in batch.column(0)], pa.list_(pa.float64())), batch.column(1)], names=["x", "toxic"])
 
     rows = sample.mapInArrow(describe, "x array<double>, toxic int").collect()  # bounded by the two row limits
+    scratch.discard()
     w = fit_logistic(np.array([r["x"] for r in rows]), np.array([r["toxic"] for r in rows], float))
     w[-1] += math.log(base[0] / base[1]) - math.log(toxic / clean)
     return Model(stems, w.tolist())
