@@ -1,4 +1,5 @@
 import json
+import os
 import threading
 import urllib.request
 
@@ -177,17 +178,60 @@ def test_server(g):
     def post(path, body):
         return json.load(urllib.request.urlopen(urllib.request.Request(at + path, json.dumps(body).encode(), method="POST")))
 
-    assert post("/query/interactive_complex_read_13", {"person1Id": 1, "person2Id": 4}) == [{"shortestPathLength": 3}]
+    assert post("/query/interactive_complex_read_13", {"person1Id": 1, "person2Id": 4}) == {"shortestPathLength": 3}
     post("/query/interactive_update_8", {"person1Id": 1, "person2Id": 4, "creationDate": 1})
-    assert post("/query/interactive_complex_read_13", {"person1Id": 1, "person2Id": 4}) == [{"shortestPathLength": 1}]
+    assert post("/query/interactive_complex_read_13", {"person1Id": 1, "person2Id": 4}) == {"shortestPathLength": 1}
     for path, method, status in (("/query/none", "POST", 500), ("/x", "GET", 404)):
         with pytest.raises(urllib.error.HTTPError) as e:
             urllib.request.urlopen(urllib.request.Request(at + path, b"{}" if method == "POST" else None, method=method))
         assert e.value.code == status
     assert json.load(urllib.request.urlopen(at + "/"))["status"] == "ok" and server.metrics.counters["http_error"] == 1
+    assert post("/query/interactive_short_read_4", {"messageId": 2}) == {"content": "hello", "creationDate": 2000} and post("/query/interactive_short_read_4", {"messageId": 999}) is None
+    assert {"friendId", "firstName", "lastName", "messageId", "content", "creationDate"} == set(post("/query/interactive_complex_read_2", {"personId": 2, "maxDate": 10**12})[0])
+    (friend, *_) = post("/query/interactive_complex_read_1", {"personId": 1, "firstName": "Ann"})
+    assert set(friend) == {"personId", "lastName", "distance", "birthday", "creationDate", "gender", "browserUsed", "locationIp", "email", "language", "cityName", "universities", "companies"}
+    assert isinstance(friend["email"], str) and all(isinstance(x, list) and len(x) == 3 for x in friend["universities"] + friend["companies"])
     http.shutdown()
 
 
+def test_server_plans_do_not_grow(g, monkeypatch):
+    monkeypatch.setattr("weftgraph.server.KEPT_UPDATES", 3)
+    server, sizes = GraphServer(g), []
+    for i in range(5):
+        server.handle("/query/interactive_update_8", {"person1Id": 1, "person2Id": 100 + i, "creationDate": i})
+        sizes.append(len(server.graph.knows._jdf.queryExecution().analyzed().toString()))
+    assert sizes[1] < 1.2 * sizes[0] and sizes[2] < sizes[0] and server.graph.knows.where("src = 1 and dst >= 100").count() == 5
+
+
+def test_replay_in_file_order(spark, tmp_path):
+    """The name of a file decides, neither its size nor the trigger that reads it."""
+    (tmp_path / "in").mkdir()
+    like = lambda date: f"0|0|2|1|2|{date}"
+    (tmp_path / "in" / "u_a.csv").write_text("\n".join([like(50), like(100)]))
+    (tmp_path / "in" / "u_b.csv").write_text("\n".join(["0|0|2|9|9|1"] * 500 + [like(150), like(200)]))
+    os.utime(tmp_path / "in" / "u_b.csv", (1e9, 1e9))  # the first name is the newer file
+    batch = replay.read_batch(spark, f"file://{tmp_path}/in")
+    replay.replay(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/log", f"file://{tmp_path}/cp", 1).awaitTermination()
+    log = replay.read_log(spark, f"file://{tmp_path}/log")
+    for rows in (batch, log):
+        assert rows.count() == rows.select("seq").distinct().count() == 504
+        assert rows.where("fields[0] = '1'").orderBy("seq").select(F.col("fields")[2]).toPandas().iloc[:, 0].tolist() == ["50", "100", "150", "200"]
+
+
+def test_failed_import_leaves_the_graph(spark, g, tmp_path, monkeypatch):
+    at = f"file://{tmp_path}/tables"
+    with pytest.raises(ValueError):
+        snb_csv.open_tables(spark, at)
+    snb_csv.save(g, at)
+    before = snb_csv.open_tables(spark, at).knows.count()
+    broken = g.with_frames({}, {"work_at": g.work_at.select("src", "dst", F.raise_error(F.lit("broken")).cast("int").alias("work_from"))})
+    with pytest.raises(Exception, match="broken"):
+        snb_csv.save(broken, at)
+    snb_csv.save_edge_properties(g, at)
+    again = snb_csv.open_tables(spark, at)
+    assert again.knows.count() == before and again.work_at.count() == g.work_at.count() and again.person.count() == g.person.count()
+
+
 def test_metrics():
     m = Metrics()
     for us in (10, 2500, 80_000):
@@ -202,11 +246,11 @@ def test_metrics():
 def test_scalars(spark):
     one = spark.range(1).select(
         scalars.utc_date(F.lit(-1).cast("long")).cast("string").alias("before"), scalars.minutes_between(F.lit(-90_000), F.lit(0)).alias("minutes"), F.size(scalars.split_list(F.lit(""))).alias("none"), scalars.split_list(F.lit("a;b")).alias("two"),
-        scalars.id_list(F.lit("1;-1;x;3")).alias("ids"), scalars.org_year_list(F.lit("1,2000;2;x,1")).alias("orgs"), scalars.optional_id(F.lit("-1")).alias("no"), scalars.bucket_floor(F.lit(37), 16).alias("bucket"), vertex_label(encode_vid(8, F.lit(5))).alias("label"),
+        scalars.id_list(F.lit("1;-1;x;3")).alias("ids"), scalars.org_year_list(F.lit("1,2000;2;x,1")).alias("orgs"), scalars.optional_id(F.lit("-1")).alias("no"), scalars.bucket_floor(F.lit(37), 16).alias("bucket"), scalars.bucket_floor(F.lit((1 << 56) + (1 << 20) - 1), 1 << 20).alias("large"), vertex_label(encode_vid(8, F.lit(5))).alias("label"),
         scalars.birthday_in_window(F.lit(29_462_400_000), 12).alias("dec"), scalars.birthday_in_window(F.lit(0), 12).alias("jan"),
     ).first()
     assert one["before"] == "1969-12-31" and one["minutes"] == -1 and one["none"] == 0 and one["two"] == ["a", "b"] and one["ids"] == [1, 3]
-    assert [tuple(x) for x in one["orgs"]] == [(1, 2000)] and one["no"] is None and one["bucket"] == 32 and one["label"] == 8 and not one["dec"] and one["jan"]
+    assert [tuple(x) for x in one["orgs"]] == [(1, 2000)] and one["no"] is None and one["bucket"] == 32 and one["large"] == 1 << 56 and one["label"] == 8 and not one["dec"] and one["jan"]
 
 
 def test_command_line(spark, root, tmp_path, capsys, monkeypatch):

@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftgraph.operators.aggregates import adjacency, adjacency_to_edges
-from weftgraph.store.compaction import Partition, overlaps, pick, score
+from weftgraph.store import adjacency_cache
+from weftgraph.store.compaction import Partition, Probe, overlaps, pick, score
 from weftgraph.store.config import StoreConfig
 from weftgraph.store.edge_store import EdgeStore, Segment
 from weftgraph.store.visibility import overlay, visible
@@ -78,7 +79,9 @@ def test_score_and_overlap():
     assert score(10, 4.0, 0.5, 0) == 60.0 and score(10, 0.0, 0.0, 2 << 20) == 5.0
     a = Segment("a", 0, 1, 1, 0, 10, 1, 2, 3, 1)
     assert overlaps(a, Partition(0, 0, None, None)) and overlaps(a, Partition(1, 0, 10, 5)) and not overlaps(a, Partition(2, 1, None, None)) and not overlaps(a, Partition(1, 1, 11, 5))
-    assert pick([a], {Partition(1, 1, 0, 16): [1.0] * 20}, StoreConfig()) is None  # one segment
+    assert pick([a], {Partition(1, 1, 0, 16): Probe(20, 20, 0)}, StoreConfig()) is None  # one segment
+    b = Segment("b", 0, 1, 1, 0, 10, 1, 2, 3, 1)
+    assert pick([a, b], {Partition(1, 1, 0, 16): Probe(20, 40, 10)}, StoreConfig()) == (Partition(1, 1, 0, 16), 50.0)
 
 
 def test_adjacency(spark):
@@ -110,3 +113,59 @@ def test_overlay_hides_deleted_base_edges(spark):
     delta = spark.createDataFrame([(1, 3, 1, 1, 1), (1, 4, 1, 2, 0)], "src long, dst long, edge_type int, ts long, marker int")
     assert sorted(r["dst"] for r in overlay(base, delta).collect()) == [2, 4]
     assert overlay(base, delta.where(F.lit(False))).count() == 2
+
+
+def test_no_source_is_cut(spark, tmp_path):
+    """Ranges of sources, as many files as the target size and the cap ask for."""
+    rows = [(1, i, 1) for i in range(3000)] + [(s, 1, 1) for s in range(2, 5000)]
+    edges = spark.createDataFrame(rows, "src long, dst long, edge_type int")
+    for cap, least, most in ((128, 4, 8), (2, 2, 2)):
+        s = EdgeStore.create(spark, f"file://{tmp_path}/{cap}", StoreConfig(segment_target_bytes=1000 * 32, max_l0_segments_per_flush=cap))
+        s.append(edges, order=["src", "dst"])
+        assert least <= len(s.segments) <= most and sum(x.edges for x in s.segments) == len(rows) and sum(x.sources for x in s.segments) == 4999
+        ends = sorted((x.min_src, x.max_src) for x in s.segments)
+        assert all(a[1] < b[0] for a, b in zip(ends, ends[1:]))
+        assert s.neighbors(1).count() == 3000 and s.neighbors(4999).count() == 1
+        assert s.compact() == len(ends) and s.scan().count() == len(rows)
+
+
+def test_probes_outlive_the_process(spark, tmp_path):
+    config = StoreConfig(l0_ra_min_queries=3, l0_ra_min_score=0.0)
+    s = EdgeStore.create(spark, f"file://{tmp_path}/s", config)
+    for i in range(3):
+        s.append(spark.createDataFrame([(0, i, 1), (9, i, 1)] + [(5, 1, 1)] * (i == 1), "src long, dst long, edge_type int"))
+    for _ in range(4):
+        assert pairs(s.neighbors(5, 1, measure=True)) == [1]
+    s.save_probes()
+    again = EdgeStore.open(spark, s.path, config)
+    (x,) = again.partition_metrics()
+    assert (x["queries"], x["candidates"], x["misses"], x["avg_candidates"]) == (4, 12, 8, 3.0)
+    part, value = again.compact_best()
+    assert abs(value - 4 * 3 * (1 + 8 / 12)) < 1e-9 and again.stats()["levels"] == {1: 1} and EdgeStore.open(spark, s.path, config).compact_best() is None
+
+
+def test_adjacency_cache(spark, tmp_path):
+    s = EdgeStore.create(spark, f"file://{tmp_path}/s")
+    at = f"file://{tmp_path}/lists"
+    with pytest.raises(ValueError):
+        adjacency_cache.load(spark, at)
+    for dst in (7, 8, 7):
+        s.insert_edge(1, dst, 2)
+    s.delete_edge(1, 8, 2)
+    s.flush()
+    assert adjacency_cache.save(s, at)["edges"] == 1
+    assert [(r["src"], r["edge_type"], r["neighbors"]) for r in adjacency_cache.load(spark, at, s).collect()] == [(1, 2, [7])]
+    s.insert_edge(1, 9, 2)
+    s.flush()
+    with pytest.raises(ValueError):
+        adjacency_cache.load(spark, at, s)
+    assert adjacency_cache.save(s, at)["groups"] == 1 and adjacency_cache.load(spark, at, s).first()["neighbors"] == [9, 7]
+
+
+def test_buffer_is_sent_once(spark, tmp_path):
+    s = EdgeStore.create(spark, f"file://{tmp_path}/s")
+    s.insert_edge(1, 2, 1)
+    assert s._buffered() is s._buffered()
+    before = s._buffered()
+    s.insert_edge(1, 3, 1)
+    assert s._buffered() is not before and pairs(s.neighbors(1)) == [2, 3]

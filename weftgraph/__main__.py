@@ -12,6 +12,7 @@ from . import validate as v
 from .plans import dispatch, updates
 from .server import GraphServer
 from .sources import snb_csv, star
+from .store import adjacency_cache
 from .store.config import StoreConfig
 from .store.edge_store import EdgeStore
 from .streaming.replay import read_batch
@@ -59,6 +60,8 @@ def parser() -> argparse.ArgumentParser:
     command("neighbors", "store", "src", edge_type=None, snapshot=None)
     command("scan", "store", snapshot=None, limit=20)
     command("stats", "store")
+    command("adjacency", "store", "target")
+    command("cached-neighbors", "target", "src", store="", edge_type=None)
     command("compact", "store", src_label=0, edge_type=0, best=0)
     command("validate-knows", "csv_root", "store")
     command("validate", "graph", "lines", queries="", limit=None)
@@ -85,11 +88,19 @@ def main(argv: list[str] | None = None) -> object:
     elif a.command == "query":
         out = dispatch.rows(dispatch.run(graph_of(spark, a.graph), json.loads(a.params), a.query or None))
     elif a.command == "neighbors":
-        out = [r.asDict() for r in EdgeStore.open(spark, a.store).neighbors(int(a.src), a.edge_type, a.snapshot).collect()]
+        store = EdgeStore.open(spark, a.store)
+        out = [r.asDict() for r in store.neighbors(int(a.src), a.edge_type, a.snapshot, measure=True).collect()]
+        store.save_probes()
     elif a.command == "scan":
         out = [r.asDict() for r in EdgeStore.open(spark, a.store).scan(a.snapshot).orderBy("src", "edge_type", "dst").limit(a.limit).collect()]
     elif a.command == "stats":
-        out = EdgeStore.open(spark, a.store).stats()
+        store = EdgeStore.open(spark, a.store)
+        out = {**store.stats(), "partitions": store.partition_metrics()}
+    elif a.command == "adjacency":
+        out = adjacency_cache.save(EdgeStore.open(spark, a.store), a.target)
+    elif a.command == "cached-neighbors":
+        lists = adjacency_cache.load(spark, a.target, EdgeStore.open(spark, a.store) if a.store else None).where(F.col("src") == int(a.src))
+        out = {r["edge_type"]: r["neighbors"] for r in (lists if a.edge_type is None else lists.where(F.col("edge_type") == a.edge_type)).collect()}
     elif a.command == "compact":
         store = EdgeStore.open(spark, a.store)
         out = store.compact_best() if a.best else store.compact_partition(a.src_label, a.edge_type) if a.src_label or a.edge_type else store.compact()

@@ -67,4 +67,5 @@ def org_year_list(text: str | Column) -> Column:
 
 
 def bucket_floor(value: str | Column, size: int) -> Column:
-    return F.floor(col(value) / F.lit(size)) * F.lit(size)
+    """The multiple of ``size`` at or below ``value``, in whole numbers: labelled ids are beyond the precision of doubles."""
+    return col(value) - F.pmod(col(value), F.lit(size))

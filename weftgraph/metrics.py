@@ -36,7 +36,7 @@ class Metrics:
     def reset(self) -> None:
         with self._lock:
             self.counters: Counter = Counter()
-            self.latencies: dict[str, list[int]] = {}
+            self.latencies: dict[str, dict] = {}  # of each endpoint the extremes, the sum and a count for each bucket
 
     def add(self, name: str, n: int = 1) -> None:
         with self._lock:
@@ -44,13 +44,15 @@ class Metrics:
 
     def record(self, endpoint: str, us: int) -> None:
         with self._lock:
-            self.latencies.setdefault(endpoint, []).append(us)
+            x = self.latencies.setdefault(endpoint, {"min": us, "max": us, "sum": 0, "counts": Counter()})
+            x["min"], x["max"], x["sum"] = min(x["min"], us), max(x["max"], us), x["sum"] + us
+            x["counts"][bucket_of(us)] += 1
 
     def latency(self, endpoint: str) -> dict:
-        values = self.latencies.get(endpoint, [])
-        counts = Counter(map(bucket_of, values))
-        out = {"count": len(values), "min_us": min(values, default=0), "max_us": max(values, default=0), "avg_us": sum(values) / len(values) if values else 0.0}
-        return out | {f"p{round(100 * q)}_us": percentile(counts, q) for q in (0.5, 0.9, 0.99)}
+        x = self.latencies.get(endpoint, {"min": 0, "max": 0, "sum": 0, "counts": Counter()})
+        n = x["counts"].total()
+        out = {"count": n, "min_us": x["min"], "max_us": x["max"], "avg_us": x["sum"] / n if n else 0.0}
+        return out | {f"p{round(100 * q)}_us": percentile(x["counts"], q) for q in (0.5, 0.9, 0.99)}
 
     def summary(self) -> dict:
         return {"counters": dict(self.counters), "endpoints": {e: self.latency(e) for e in sorted(self.latencies)}}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..graph import Graph
@@ -25,16 +27,17 @@ def root_posts(g: Graph, messages: DataFrame | None = None) -> DataFrame:
 
 
 def _doubled(links: DataFrame) -> DataFrame:
-    done = links.where("reply_of_post is not null").select("id", F.col("reply_of_post").alias("root_post"))
+    parts = [links.where("reply_of_post is not null").select("id", F.col("reply_of_post").alias("root_post"))]
     open_ = links.where("reply_of_post is null and reply_of_comment is not null").select("id", F.col("reply_of_comment").alias("next"))
     for _ in range(ROUNDS):
         if not open_.limit(1).count():
             break
-        hit = open_.join(done.select(F.col("id").alias("next"), "root_post"), "next").select("id", "root_post")
+        done = reduce(DataFrame.union, parts)
+        hit = staged(open_.join(done.select(F.col("id").alias("next"), "root_post"), "next").select("id", "root_post"), "roots")
         jump = open_.select(F.col("id").alias("next"), F.col("next").alias("further"))
         open_ = staged(open_.join(hit, "id", "left_anti").join(jump, "next").select("id", F.col("further").alias("next")), "roots-open")
-        done = staged(done.union(hit), "roots")
-    return done
+        parts.append(hit)
+    return reduce(DataFrame.union, parts)
 
 
 def _follow(links: DataFrame, messages: DataFrame) -> DataFrame:

@@ -85,10 +85,33 @@ def rows(df: DataFrame) -> list[dict]:
     return [{camel(k): v for k, v in r.asDict(recursive=True).items()} for r in df.collect()]
 
 
-def flattened(df: DataFrame) -> DataFrame:
-    """Lists of strings as ``;`` strings, for clients that take no arrays."""
-    lists = [n for n, t in df.dtypes if t == "array<string>"]
-    return df.withColumns({n: join_list(F.col(n)) for n in lists}) if lists else df
+#: The field names of the HTTP answers where they aren't the columns' names in camel case.
+_PERSON = {"person_first_name": "firstName", "person_last_name": "lastName"}
+_FRIEND_MESSAGE = {"person_id": "friendId", **_PERSON, "message_content": "content", "message_creation_date": "creationDate"}
+HTTP_FIELDS: dict[str, dict[str, str]] = {
+    "ic1": {
+        "friend_id": "personId", "friend_last_name": "lastName", "distance_from_person": "distance", "friend_birthday": "birthday", "friend_creation_date": "creationDate", "friend_gender": "gender", "friend_browser_used": "browserUsed",
+        "friend_location_ip": "locationIp", "friend_emails": "email", "friend_languages": "language", "friend_city_name": "cityName", "friend_universities": "universities", "friend_companies": "companies",
+    },
+    "ic2": _FRIEND_MESSAGE, "ic3": _PERSON, "ic7": {**_PERSON, "like_creation_date": "likeTime"}, "ic8": _PERSON, "ic9": _FRIEND_MESSAGE,
+    "ic10": {**_PERSON, "common_interest_score": "score", "person_gender": "gender", "person_city_name": "cityName"}, "ic11": {**_PERSON, "organization_work_from_year": "workFromYear"}, "ic12": {**_PERSON, "reply_count": "count"},
+    "is2": {"message_content": "content", "message_creation_date": "creationDate", "original_post_author_first_name": "firstName", "original_post_author_last_name": "lastName"},
+    "is4": {"message_content": "content", "message_creation_date": "creationDate"}, "is6": {"moderator_id": "moderatorPersonId"},
+    "is7": {"comment_content": "content", "comment_creation_date": "creationDate", "reply_author_first_name": "firstName", "reply_author_last_name": "lastName"},
+}
+#: Reads whose answer is one object, or null.
+SINGLE = {"ic13", "is1", "is4", "is5", "is6"}
+
+
+def answer(read: str, df: DataFrame) -> object:
+    """The HTTP answer: fields by their names there, the lists of ic1 as ``;`` strings and its organisations as triples."""
+    names, out = HTTP_FIELDS.get(read, {}), []
+    if read == "ic1":
+        df = df.withColumns({"friend_emails": join_list("friend_emails"), "friend_languages": join_list("friend_languages")})
+    for r in df.collect():
+        row = {names.get(k, camel(k)): v for k, v in r.asDict(recursive=True).items()}
+        out.append({k: [list(x.values()) for x in v] if k in ("universities", "companies") and v is not None else v for k, v in row.items()})
+    return (out[0] if out else None) if read in SINGLE else out
 
 
 def parse_query_list(raw: str) -> list[str]:

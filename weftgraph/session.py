@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder name below ``spark.checkpoint.dir``; a local folder is set only where the session names none."""
+    """A fresh folder name below ``spark.checkpoint.dir``; a local folder is set only where the session names none, and only in local mode."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not root:
         root = "file://" + os.path.join(tempfile.gettempdir(), "weftgraph-shared")
         spark.conf.set("spark.checkpoint.dir", root)
