@@ -6,25 +6,32 @@ one or two small jobs for its parameters and then the query itself.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from dataclasses import asdict
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from .functions import scalars
 from .functions.scalars import birthday_in_window, in_window, join_list, minutes_between, split_list
 from .graph import Graph
 from .metrics import histogram
-from .model import INSERT, Relation, encode_vid, external_id, vertex_label
-from .operators.aggregates import adjacency, argmax, segment_stats, zero_preserving_count
+from .model import Relation, encode_vid, external_id, vertex_label
+from .operators.aggregates import adjacency, adjacency_to_edges, argmax, segment_stats, zero_preserving_count
 from .operators.closure import root_posts, tag_class_descendants
 from .operators.expand import distances, friends, friends_of_friends, in_expand, k_hop, organisations_of, out_expand, residents
 from .operators.paths import all_shortest_paths, bfs_levels, pair_weights, shortest_path_length
-from .oracles import CLASS, COUNTRY, DAYS, END, MAX_DATE, MIN_DATE, MONTH, NAME, START, X, Y, YEAR
-from .plans import complex_reads as ic, short_reads as short, updates
+from .oracles import CLASS, COUNTRY, DAYS, END, LARGE_PART, MAX_DATE, MIN_DATE, MONTH, NAME, PROBED, SEGMENT, START, WRITES, X, Y, YEAR
+from .plans import complex_reads as ic, dispatch, short_reads as short, updates
 from .session import shared_dir
-from .sources import star
-from .store.compaction import score
+from .sources import snb_csv, star
+from .store import adjacency_cache
+from .store.compaction import scores
+from .store.config import StoreConfig
 from .store.edge_store import EdgeStore
 from .store.visibility import overlay, visible
+from .streaming import replay
+from .validate import difference, validate
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -275,9 +282,9 @@ def visibility_merge_snapshot(spark: SparkSession, sf: str) -> DataFrame:
     return visible(log, log.agg(F.max("ts")).first()[0] // 2)
 
 
-def _filled(spark: SparkSession, sf: str, pieces: int = 4) -> EdgeStore:
+def _filled(spark: SparkSession, sf: str, pieces: int = 4, config: StoreConfig | None = None) -> EdgeStore:
     """A store with the log in ``pieces`` segments of level 0."""
-    store, log = EdgeStore.create(spark, shared_dir(spark, "store")), edge_log(spark, sf)
+    store, log = EdgeStore.create(spark, shared_dir(spark, "store"), config), edge_log(spark, sf)
     for i in range(pieces):
         store._add(log.where(F.col("ts") % pieces == i))
     return store
@@ -302,35 +309,160 @@ def neighbors_overlay(spark: SparkSession, sf: str) -> DataFrame:
     return overlay(base, edge_log(spark, sf))
 
 
+def labelled_log(spark: SparkSession, sf: str) -> DataFrame:
+    """The log with sources of two labels and edges of three types, most of them of the first."""
+    kind = F.when(F.col("ts") % 10 < 7, 1).when(F.col("ts") % 10 < 9, 2).otherwise(3)
+    return edge_log(spark, sf).select(encode_vid(F.col("src") % 2 + 1, "src").alias("src"), "dst", kind.alias("edge_type"), "ts", "marker")
+
+
+def _segments(spark: SparkSession, store: EdgeStore) -> DataFrame:
+    """The manifest as rows."""
+    return spark.createDataFrame([asdict(s) for s in store.segments], "name string, level int, src_label int, edge_type int, min_src long, max_src long, min_ts long, max_ts long, edges long, sources long")
+
+
 @query
 def l0_partitions(spark: SparkSession, sf: str) -> DataFrame:
-    sizes = edge_log(spark, sf).where(F.col("marker") >= INSERT).groupBy(F.expr("src div 16 * 16").alias("range_start"), "edge_type").agg(F.count("*").alias("edges"))
-    return sizes.select("range_start", F.when(F.col("edges") * 32 < 32768, 0).otherwise(F.col("edge_type")).alias("part"), "edges")
+    """What a graph-aware flush makes of the log: large (label, type) pairs have parts of their own."""
+    store = EdgeStore.create(spark, shared_dir(spark, "store"), StoreConfig(graph_aware_l0=True, min_l0_partition_bytes=32 * LARGE_PART, segment_target_bytes=32 * SEGMENT))
+    store._add(labelled_log(spark, sf))
+    rows = _segments(spark, store).withColumn("part", F.regexp_extract("name", "/part=([0-9]+)/", 1).cast("int"))
+    return rows.groupBy(F.col("src_label").alias("label"), "part").agg(F.sum("edges").alias("edges"), F.sum("sources").alias("sources"), F.min("min_src").alias("min_src"), F.max("max_src").alias("max_src"))
+
+
+@query
+def segment_layout(spark: SparkSession, sf: str) -> DataFrame:
+    """A bulk append in several files, none of which shares a source with another."""
+    store = EdgeStore.create(spark, shared_dir(spark, "store"), StoreConfig(segment_target_bytes=32 * SEGMENT))
+    store.append(edge_log(spark, sf).select("src", "dst", "edge_type", "ts"), order=["ts"])
+    files = spark.read.parquet(*[f"{store.path}/segments/{s.name}" for s in store.segments]).select("src", F.col("_metadata.file_path").alias("file")).distinct()
+    cut = files.groupBy("src").count().where("count > 1").agg(F.count("*").alias("cut_sources"))
+    return _segments(spark, store).agg(F.sum("edges").alias("edges"), F.sum("sources").alias("sources"), (F.count("*") > 1).alias("several")).join(cut)
+
+
+@query
+def store_writes(spark: SparkSession, sf: str) -> DataFrame:
+    """Single inserts and tombstones, half of them flushed, the rest read from the buffer."""
+    store = EdgeStore.create(spark, shared_dir(spark, "store"))
+    rows = edge_log(spark, sf).where(F.col("ts") < WRITES).orderBy("ts").collect()  # a fixed number of first writes, one call each
+    for i, r in enumerate(rows):
+        (store.delete_edge if r["marker"] else store.insert_edge)(r["src"], r["dst"], r["edge_type"])
+        if i == WRITES // 2:
+            store.flush()
+    return store.scan().select("src", "dst", "edge_type", "ts")
+
+
+@query
+def compact_partition(spark: SparkSession, sf: str) -> DataFrame:
+    """A targeted compaction: levels afterwards, and that every edge is still seen."""
+    store = EdgeStore.create(spark, shared_dir(spark, "store"), StoreConfig(graph_aware_l0=True, min_l0_partition_bytes=0))
+    log = labelled_log(spark, sf)
+    for i in range(2):
+        store._add(log.where(F.col("ts") % 2 == i))
+    store.compact_partition(1, 2)
+    levels = _segments(spark, store).groupBy(F.col("src_label").alias("label"), "edge_type", "level").agg(F.count("*").alias("segments"))
+    seen = store.scan().groupBy(vertex_label("src").alias("label"), "edge_type").agg(F.count("*").alias("edges"))
+    return levels.join(seen, ["label", "edge_type"])
 
 
 @query
 def compaction_score(spark: SparkSession, sf: str) -> DataFrame:
-    rows = edge_log(spark, sf).groupBy(F.expr("src div 16 * 16").alias("range_start")).agg(F.count("*").alias("queries"), F.count_distinct(F.expr("ts div 1000")).alias("segments"))
-    mib = F.greatest(F.col("queries") * 32 / float(1 << 20), F.lit(1.0))
-    value = F.col("queries") * F.greatest(F.col("segments").cast("double"), F.lit(1.0)) * score(1, 1.0, 0.25, 0) / mib
-    return rows.where("queries >= 10 and segments >= 2").select("range_start", F.round(value, 6).alias("score"))
+    """Scores of the ranges of four sources after a lookup of each, over four segments of level 0."""
+    store = _filled(spark, sf, 4, StoreConfig(l0_ra_range_bucket_size=4, l0_ra_min_queries=1))
+    for src in range(PROBED):
+        store.neighbors(src, 1, measure=True)
+    found = [(part.range_start, round(value, 6)) for part, value in scores(store.segments, store._probes, store.config)]
+    return spark.createDataFrame(found, "range_start long, score double")
+
+
+@query
+def adjacency_cache_query(spark: SparkSession, sf: str) -> DataFrame:
+    """The visible edges as lists, built from a store, persisted and read again; and back to edges."""
+    store, target = _filled(spark, sf), shared_dir(spark, "lists")
+    adjacency_cache.save(store, target)
+    return adjacency_to_edges(adjacency_cache.load(spark, target, store)).select("src", "dst", "edge_type", "ts")
+
+
+@query
+def bucket_floor(spark: SparkSession, sf: str) -> DataFrame:
+    ids = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderkey").cast("long").alias("id"), encode_vid(3, F.col("o_orderkey") * 1_000_003).alias("vid"))
+    return ids.select("id", scalars.bucket_floor("vid", 1 << 20).alias("bucket"))
+
+
+def _update_files(spark: SparkSession, sf: str) -> str:
+    """Likes as update lines in two files, the second the larger one."""
+    folder = shared_dir(spark, "updates")
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_linenumber", F.concat_ws("|", F.lit("0"), F.lit("0"), F.lit(str(updates.LIKE_POST)), F.col("l_suppkey") % 50, F.col("l_orderkey") % 200, F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("value"))
+    for name, part in (("a", F.col("l_linenumber") == 2), ("b", F.col("l_linenumber") != 2)):
+        lines.where(part).orderBy("l_orderkey", "l_linenumber").select("value").coalesce(1).write.text(f"{folder}/{name}")  # a test file of a fixed order
+    return folder
+
+
+def _likes(log: DataFrame) -> DataFrame:
+    return updates.new_edges(log)["likes_post"].groupBy("src", "dst").agg(F.max_by("creation_date", "seq").alias("creation_date"), F.count("*").alias("n"))
+
+
+@query
+def update_batch(spark: SparkSession, sf: str) -> DataFrame:
+    folder = _update_files(spark, sf)
+    return _likes(replay.read_batch(spark, f"{folder}/b", f"{folder}/a"))
+
+
+@query
+def update_replay(spark: SparkSession, sf: str) -> DataFrame:
+    """The same through the stream, a file a trigger."""
+    folder, log = _update_files(spark, sf), shared_dir(spark, "log")
+    replay.replay(spark, f"{folder}/*", log, shared_dir(spark, "replay"), 1).awaitTermination()
+    return _likes(replay.read_log(spark, log))
+
+
+@query
+def csv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """The star graph written as CSV files and imported: rows of each frame, and those that differ."""
+    g, root = load(spark, sf), shared_dir(spark, "csv")
+    snb_csv.export(g, root)
+    again, out = snb_csv.import_full(spark, root, shared_dir(spark, "tables")), None
+    for have, want in ((again.vertices, g.vertices), (again.edges, g.edges)):
+        for name in have:
+            same = F.count_if(F.col("side") == "missing").alias("missing"), F.count_if(F.col("side") == "extra").alias("extra")
+            one = difference(have[name].select(want[name].columns), want[name]).agg(*same).join(have[name].agg(F.count("*").alias("n"))).select(F.lit(name).alias("frame"), "n", "missing", "extra")
+            out = one if out is None else out.union(one)
+    return out
+
+
+@query
+def dispatch_reads(spark: SparkSession, sf: str) -> DataFrame:
+    """Requests by their parameters, answered as JSON rows, and golden lines with an update between them."""
+    g = load(spark, sf)
+    p = best_connected(g)
+    friend = {"personIdSQ3": p}
+    rows = dispatch.rows(dispatch.run(g, friend))
+    lines = [json.dumps(friend) + "|" + json.dumps(rows), json.dumps({"person1Id": p, "person2Id": NEW, "creationDate": 5}) + '|"-1"', json.dumps(friend) + "|[]", "no bar"]
+    report = validate(g, lines)
+    return spark.createDataFrame([(p, len(rows), report.checked, report.passed, report.updated, report.failed)], "person long, friends long, checked long, passed long, updated long, failed long")
+
+
+NEW = 5_000_000_000
 
 
 @query
 def iu_apply_batch(spark: SparkSession, sf: str) -> DataFrame:
-    """All eight updates with new ids; the sizes of the frames they change."""
+    """All eight updates with new ids, some twice: the size of each frame they change, and its new rows."""
     g = load(spark, sf)
-    new = 5_000_000_000
-    person = {"personId": new, "firstName": "A", "lastName": "B", "gender": "female", "birthday": 0, "creationDate": 1, "locationIp": "", "browserUsed": "", "cityId": 1000, "language": "en", "email": "", "tagIds": [1, 2], "studyAt": [{"organizationId": 1, "classYear": 2000}], "workAt": []}
-    post = {"postId": new, "imageFile": "", "creationDate": 1, "locationIp": "", "browserUsed": "", "language": "en", "content": "x", "length": 1, "authorPersonId": new, "forumId": new, "countryId": 1, "tagIds": [1]}
-    comment = {"commentId": new, "creationDate": 2, "locationIp": "", "browserUsed": "", "content": "y", "length": 1, "authorPersonId": new, "countryId": 1, "replyToPostId": new, "replyToCommentId": -1, "tagIds": []}
+    person = {"personId": NEW, "firstName": "A", "lastName": "B", "gender": "female", "birthday": 0, "creationDate": 1, "locationIp": "", "browserUsed": "", "cityId": 1000, "language": "en", "email": "", "tagIds": [1, 2], "studyAt": [{"organizationId": 1, "classYear": 2000}], "workAt": [{"organizationId": 2, "workFromYear": 2001}]}
+    post = {"postId": NEW, "imageFile": "", "creationDate": 1, "locationIp": "", "browserUsed": "", "language": "en", "content": "x", "length": 1, "authorPersonId": NEW, "forumId": NEW, "countryId": 1, "tagIds": [1]}
+    comment = {"commentId": NEW, "creationDate": 2, "locationIp": "", "browserUsed": "", "content": "y", "length": 1, "authorPersonId": NEW, "countryId": 1, "replyToPostId": NEW, "replyToCommentId": -1, "tagIds": [4]}
     ops = [
-        (1, person), (4, {"forumId": new, "forumTitle": "F", "creationDate": 1, "moderatorPersonId": new, "tagIds": [3]}), (6, post), (7, comment), (2, {"personId": new, "postId": new, "creationDate": 3}),
-        (3, {"personId": new, "commentId": new, "creationDate": 4}), (5, {"forumId": new, "personId": new, "joinDate": 5}), (8, {"person1Id": new, "person2Id": 1, "creationDate": 6}), (1, person),
+        (1, person), (4, {"forumId": NEW, "forumTitle": "F", "creationDate": 1, "moderatorPersonId": NEW, "tagIds": [3]}), (6, post), (7, comment), (2, {"personId": NEW, "postId": NEW, "creationDate": 3}),
+        (3, {"personId": NEW, "commentId": NEW, "creationDate": 4}), (5, {"forumId": NEW, "personId": NEW, "joinDate": 5}), (8, {"person1Id": NEW, "person2Id": 1, "creationDate": 6}),
+        (1, person | {"lastName": "C"}), (2, {"personId": NEW, "postId": NEW, "creationDate": 2}), (5, {"forumId": NEW, "personId": NEW, "joinDate": 9}),  # the last one wins
     ]
     after, out = updates.apply(g, updates.log_of(spark, ops)), None
-    for name in ("person", "post", "comment", "forum", "knows", "has_interest"):
-        one = getattr(after, name).agg(F.count("*").alias("n")).select(F.lit(name).alias("frame"), "n")
+    shown = {"person": ["id", "first_name", "last_name", "gender", "birthday", "creation_date", "place", "language"], "post": ["id", "creation_date", "content", "creator", "forum", "place"], "comment": ["id", "creation_date", "content", "creator", "place", "reply_of_post", "reply_of_comment"], "forum": ["id", "title", "moderator"]}
+    for name in (*shown, *updates.new_edges(updates.log_of(spark, ops))):
+        df = getattr(after, name)
+        columns, mine = shown.get(name, df.columns), (F.col("id") == NEW) if name in shown else (F.col("src") == NEW) | (F.col("dst") == NEW)
+        row = F.when(mine, F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in columns]))
+        one = df.agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list(row)), ";").alias("new_rows")).select(F.lit(name).alias("frame"), "n", "new_rows")  # a few new rows
         out = one if out is None else out.union(one)
     return out
 

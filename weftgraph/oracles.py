@@ -42,6 +42,8 @@ far AS (SELECT id AS q FROM person, me WHERE id <> p AND id IN (SELECT src FROM
 """
 
 X, Y, START, DAYS, MIN_DATE, MAX_DATE, NAME, COUNTRY, YEAR, MONTH, CLASS = "NATION_3", "NATION_7", 852076800000, 1200, 883612800000, 1705276800000, "BUILDING", "NATION_5", 1999, 5, "Group#2"
+#: For the store's queries: edges that make a part of its own, edges of a segment, single writes, sources looked up.
+LARGE_PART, SEGMENT, WRITES, PROBED = 2000, 1500, 400, 8
 END = START + DAYS * 86_400_000
 _POST_OF = "post JOIN friends ON creator = v"
 
@@ -110,6 +112,30 @@ ORACLES = {
       FROM post JOIN post_has_tag t ON t.src = post.id GROUP BY 1"""),
     "distinct_names_desc": _sql("SELECT i.src AS person, string_agg(DISTINCT first_word, ';' ORDER BY first_word DESC) AS names FROM (SELECT src, split_part(name, '#', 1) AS first_word FROM has_interest JOIN tag ON tag.id = dst) i GROUP BY 1"),
     "adjacency_build": f"WITH {_LOG}, d AS (SELECT src, edge_type, dst, max(ts) AS ts, count(*) AS records FROM log GROUP BY ALL) SELECT src, edge_type, string_agg(dst, ',' ORDER BY ts DESC, dst) AS neighbors, CAST(sum(records) AS BIGINT) AS records, CAST(sum(records) - count(*) AS BIGINT) AS duplicates FROM d GROUP BY ALL",
+    "l0_partitions": f"""WITH {_LOG}, v AS (SELECT ((src % 2 + 1) << 56) | src AS src, src % 2 + 1 AS label, CASE WHEN ts % 10 < 7 THEN 1 WHEN ts % 10 < 9 THEN 2 ELSE 3 END AS edge_type FROM log),
+      p AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY label, edge_type) >= {LARGE_PART} THEN edge_type ELSE 0 END AS part FROM v)
+      SELECT CAST(label AS INTEGER) AS label, CAST(part AS INTEGER) AS part, count(*) AS edges, count(DISTINCT src) AS sources, min(src) AS min_src, max(src) AS max_src FROM p GROUP BY 1, 2""",
+    "segment_layout": f"WITH {_LOG} SELECT count(*) AS edges, count(DISTINCT src) AS sources, count(*) > {SEGMENT} AS several, CAST(0 AS BIGINT) AS cut_sources FROM log",
+    "store_writes": f"""WITH {_LOG}, w AS (SELECT src, dst, edge_type, row_number() OVER (ORDER BY ts) AS ts, marker FROM log WHERE ts < {WRITES}), n AS (SELECT *, row_number() OVER (PARTITION BY src, edge_type, dst ORDER BY ts DESC) AS nth FROM w)
+      SELECT src, dst, edge_type, ts FROM n WHERE nth = 1 AND marker = 0""",
+    "compact_partition": f"""WITH {_LOG}, v AS (SELECT src, dst, ts, marker, CAST(src % 2 + 1 AS INTEGER) AS label, CASE WHEN ts % 10 < 7 THEN 1 WHEN ts % 10 < 9 THEN 2 ELSE 3 END AS edge_type FROM log),
+      l AS (SELECT label, edge_type, CASE WHEN label = 1 AND edge_type = 2 THEN 1 ELSE 0 END AS level, CASE WHEN label = 1 AND edge_type = 2 THEN 1 ELSE count(DISTINCT ts % 2) END AS segments FROM v GROUP BY label, edge_type),
+      s AS (SELECT label, edge_type, count(*) AS edges FROM (SELECT *, row_number() OVER (PARTITION BY src, edge_type, dst ORDER BY ts DESC) AS n FROM v) WHERE n = 1 AND marker = 0 GROUP BY ALL)
+      SELECT label, edge_type, level, CAST(segments AS BIGINT) AS segments, edges FROM l JOIN s USING (label, edge_type)""",
+    "compaction_score": f"""WITH {_LOG}, p AS (SELECT ts % 4 AS piece, min(src) AS low, max(src) AS high, count(*) AS n FROM log GROUP BY 1), q AS (SELECT range AS s FROM range({PROBED})),
+      c AS (SELECT s, piece, EXISTS (SELECT 1 FROM log WHERE src = s AND ts % 4 = piece) AS held FROM q JOIN p ON s BETWEEN low AND high),
+      r AS (SELECT q.s // 4 * 4 AS range_start, count(DISTINCT q.s) AS queries, count(piece) AS candidates, count(*) FILTER (WHERE piece IS NOT NULL AND NOT held) AS misses FROM q LEFT JOIN c USING (s) GROUP BY 1),
+      b AS (SELECT range_start, sum(n) * 32 AS bytes, count(*) AS segments FROM r JOIN p ON low < range_start + 4 AND high >= range_start GROUP BY 1)
+      SELECT range_start, round(queries * greatest(candidates / queries, 1.0) * (1 + CASE WHEN candidates > 0 THEN misses / candidates ELSE 0 END) / greatest(bytes / 1048576.0, 1.0), 6) AS score FROM r JOIN b USING (range_start) WHERE segments >= 2""",
+    "adjacency_cache": f"WITH {_LOG}, v AS ({_visible()}) SELECT src, dst, edge_type, row_number() OVER (PARTITION BY src, edge_type ORDER BY ts, dst DESC) AS ts FROM v",
+    "bucket_floor": "SELECT CAST(o_orderkey AS BIGINT) AS id, ((3::BIGINT << 56) | (o_orderkey * 1000003)) - ((3::BIGINT << 56) | (o_orderkey * 1000003)) % 1048576 AS bucket FROM orders",
+    **dict.fromkeys(("update_batch", "update_replay"), """SELECT l_suppkey % 50 AS src, l_orderkey % 200 AS dst, arg_max(l_orderkey * 10 + l_linenumber, CASE WHEN l_linenumber = 2 THEN 0 ELSE 1000000000000 END + l_orderkey * 10 + l_linenumber) AS creation_date, count(*) AS n FROM lineitem GROUP BY 1, 2"""),
+    "csv_roundtrip": _sql("SELECT *, CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS extra FROM (" + " UNION ALL ".join(f"SELECT '{t}' AS frame, count(*) AS n FROM {t}" for t in ("place", "organisation", "tag", "tag_class", "person", "forum", "post", "comment", "knows", "likes_comment", "likes_post", "has_interest", "study_at", "work_at", "has_member", "post_has_tag")) + " UNION ALL SELECT 'forum_has_tag', count(*) FROM supplier UNION ALL SELECT 'comment_has_tag', count(*) FROM events)"),
+    "dispatch_reads": _sql("SELECT p AS person, (SELECT count(*) FROM knows WHERE src = p) AS friends, CAST(2 AS BIGINT) AS checked, CAST(1 AS BIGINT) AS passed, CAST(1 AS BIGINT) AS updated, CAST(1 AS BIGINT) AS failed FROM me"),
+    "iu_apply_batch": _sql(" UNION ALL ".join(f"SELECT '{frame}' AS frame, {'(SELECT count(*) FROM ' + {'forum_has_tag': 'supplier', 'comment_has_tag': 'events'}.get(frame, frame) + ')'} + {fresh} AS n, '{rows}' AS new_rows" for frame, fresh, rows in (
+      ("person", 1, "5000000000|A|C|female|0|1|1000|en"), ("post", 1, "5000000000|1|x|5000000000|5000000000|1"), ("comment", 1, "5000000000|2|y|5000000000|1|5000000000|-"), ("forum", 1, "5000000000|F|5000000000"),
+      ("knows", 2, "1|5000000000|6;5000000000|1|6"), ("likes_post", 1, "5000000000|5000000000|2"), ("likes_comment", 1, "5000000000|5000000000|4"), ("has_member", 1, "5000000000|5000000000|9"),
+      ("has_interest", 2, "5000000000|1;5000000000|2"), ("forum_has_tag", 1, "5000000000|3"), ("post_has_tag", 1, "5000000000|1"), ("comment_has_tag", 1, "5000000000|4"), ("study_at", 1, "5000000000|1|2000"), ("work_at", 1, "5000000000|2|2001")))),
     "segment_stats": f"WITH {_LOG} SELECT src % 4 AS bucket, count(DISTINCT src) AS sources, 0 AS src_label, 1 AS single_type, min(src) AS min_src, max(src) AS max_src, min(ts) AS min_ts, max(ts) AS max_ts, count(*) AS edges FROM log GROUP BY 1",
     "visibility_merge_latest": f"WITH {_LOG} {_visible()}",
     "visibility_merge_snapshot": f"WITH {_LOG} {_visible('ts <= (SELECT max(ts) // 2 FROM log)')}",
@@ -117,9 +143,6 @@ ORACLES = {
     "compaction_preserves": f"WITH {_LOG} {_visible()}",
     "neighbors_overlay": _sql(f", {_LOG}, newest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src, edge_type, dst ORDER BY ts DESC) AS n FROM log) WHERE n = 1), base AS (SELECT src, 1 AS edge_type, dst FROM knows)"
       " SELECT src, edge_type, dst FROM base b WHERE NOT EXISTS (SELECT 1 FROM newest n WHERE n.src = b.src AND n.edge_type = b.edge_type AND n.dst = b.dst) UNION ALL SELECT src, edge_type, dst FROM newest WHERE marker = 0"),
-    "l0_partitions": f"WITH {_LOG}, g AS (SELECT src // 16 * 16 AS range_start, edge_type, count(*) AS edges FROM log GROUP BY ALL) SELECT range_start, CASE WHEN edges * 32 < 32768 THEN 0 ELSE edge_type END AS part, edges FROM g",
-    "compaction_score": f"""WITH {_LOG}, g AS (SELECT src // 16 * 16 AS range_start, count(*) AS queries, count(DISTINCT ts // 1000) AS segments, count(*) * 32 AS bytes FROM log GROUP BY ALL)
-      SELECT range_start, round(queries * greatest(CAST(segments AS DOUBLE), 1.0) * (1.0 + 0.25) / greatest(bytes / 1048576.0, 1.0), 6) AS score FROM g WHERE queries >= 10 AND segments >= 2""",
     "birthday_window": _sql(f"SELECT id, birthday FROM person WHERE {_born('birthday')}"),
     "minutes_latency": _sql("SELECT l.src, l.dst, CAST(sign(l.creation_date - c.creation_date) * (abs(l.creation_date - c.creation_date) // 60000) AS BIGINT) AS minutes FROM likes_comment l JOIN comment c ON c.id = l.dst"),
     "split_list": _sql("SELECT id, CASE WHEN email = '' THEN 0 ELSE len(string_split(email, ';')) END AS emails, email AS joined FROM person"),
@@ -129,7 +152,6 @@ ORACLES = {
     "set_difference": _sql(f"SELECT 'missing' AS side, src, dst FROM (SELECT src, dst FROM knows WHERE creation_date >= {START} EXCEPT SELECT src, dst FROM knows WHERE creation_date < {END}) UNION ALL SELECT 'extra', src, dst FROM (SELECT src, dst FROM knows WHERE creation_date < {END} EXCEPT SELECT src, dst FROM knows WHERE creation_date >= {START})"),
     "place_incoming_messages": _sql(f"SELECT m.id, m.creator FROM message m JOIN place ON place.id = m.place WHERE name = '{X}' AND type = 'country' AND creation_date >= {START} AND creation_date < {END}"),
     "xy_residents": _sql(f"SELECT person.id AS v FROM person JOIN place c ON c.id = person.place WHERE c.is_part_of IN (SELECT id FROM place WHERE type = 'country' AND name IN ('{X}', '{Y}'))"),
-    "iu_apply_batch": _sql("SELECT 'person' AS frame, count(*) + 1 AS n FROM person UNION ALL SELECT 'post', count(*) + 1 FROM post UNION ALL SELECT 'comment', count(*) + 1 FROM comment UNION ALL SELECT 'forum', count(*) + 1 FROM forum UNION ALL SELECT 'knows', count(*) + 2 FROM knows UNION ALL SELECT 'has_interest', count(*) + 2 FROM has_interest"),
     "ic1": _sql(f""", walk AS (SELECT p AS v, 0 AS d FROM me UNION SELECT k.dst, d + 1 FROM walk JOIN knows k ON k.src = walk.v WHERE d < 3), near AS (SELECT v, min(d) AS d FROM walk, me WHERE v <> p GROUP BY v),
       n AS (SELECT d, person.* FROM near JOIN person ON id = v WHERE first_name = '{NAME}' ORDER BY d, last_name, id LIMIT 20)
       SELECT n.id AS friend_id, last_name AS friend_last_name, CAST(d AS INTEGER) AS distance_from_person, birthday AS friend_birthday, creation_date AS friend_creation_date, gender AS friend_gender, browser_used AS friend_browser_used,
