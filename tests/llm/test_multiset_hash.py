@@ -5,7 +5,7 @@ from brute import prose
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from weftgraph.llm.multiset_hash import Fingerprint, fingerprints, replace_tail
+from weftgraph.llm.multiset_hash import Fingerprint, fingerprints, replace_tail, with_next
 
 lines = st.lists(st.text(alphabet="ab \nß", max_size=40), max_size=6)
 
@@ -40,7 +40,8 @@ def test_likeness_follows_the_shared_part():
 
 
 def check(df, docs):
-    order = sorted(((d if d is not None else -(2**63), d, t or "") for d, t in docs), key=lambda x: (x[0], x[2].encode()))
+    hashes = dict(df.sparkSession.createDataFrame([(t or "",) for _, t in docs], "text string").select("text", F.xxhash64("text")).collect())  # ties are in this order
+    order = sorted(((d if d is not None else -(2**63), d, t or "") for d, t in docs), key=lambda x: (x[0], hashes[x[2]], x[2].encode()))
     expected = []
     for (_, d, t), (_, _, following) in zip(order, order[1:] + order[:1]):
         half = len(t) // 2
@@ -58,3 +59,13 @@ def test_odd_rows(spark):
     check(fingerprints(df), docs)
     check(fingerprints(df.where("doc_id = 3")), [docs[1]])
     assert fingerprints(df.where("false")).count() == 0
+
+
+def test_hot_ids(spark):
+    """Rows without id, and of one id, more than a range holds: still every row's own next one, and no task with all of them."""
+    rng = random.Random(6)
+    docs = [(None, prose(rng, 6)) for _ in range(300)] + [(7, prose(rng, 6)) for _ in range(300)] + [(i, prose(rng, 6)) for i in range(10, 60)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    check(fingerprints(df), docs)
+    sizes = with_next(df).groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in sizes) < 300

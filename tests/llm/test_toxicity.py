@@ -16,6 +16,23 @@ def test_composed_grammar():
     assert {tags: fst.best(tags)[1] for tags in cases} == cases
 
 
+def test_best_path_against_all_paths():
+    """The heaviest path by dynamic programming, against an enumeration of every path of short clauses."""
+    fst = tox.grammar()
+
+    def paths(state, tags):
+        if not tags:
+            return [(0.0, "")] if state in fst.finals else []
+        return [(w + v, out + rest) for out, w, to in fst.arcs.get((state, tags[0]), []) for v, rest in paths(to, tags[1:])]
+
+    rng = random.Random(2)
+    for _ in range(400):
+        tags = "".join(rng.choice("ITPNRO") for _ in range(rng.randrange(0, 8)))
+        every = paths(fst.start, tags)
+        weight, out = fst.best(tags)
+        assert (weight, out) in every and weight == max(w for w, _ in every)
+
+
 def test_clauses_and_features():
     lexicon = tox.Lexicon({"blub*": 5.0, "zork": 4.0})
     plain, aimed, negated, reported = (lexicon.features(t) for t in ("a zork b", "you are a zork", "that is not a zork", "she said it was a zork"))

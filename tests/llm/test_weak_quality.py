@@ -32,6 +32,28 @@ def test_em_finds_the_accuracies():
     assert posterior["gggg"] > 0.99 and posterior["bbbb"] < 0.01 and w.expectation_maximisation({})[0] == {}
 
 
+def test_em_against_plain_loops():
+    """One document at a time, vote by vote."""
+    rng, docs = random.Random(3), []
+    for _ in range(300):
+        good = rng.random() < 0.6
+        docs.append("".join("-" if rng.random() < 0.3 else "gb"[(rng.random() < a) != good] for a in (0.9, 0.7, 0.8)))
+    counts = {p: docs.count(p) for p in docs}
+    posterior, vote = w.expectation_maximisation(counts, rounds=7)
+    share = {p: (p.count("g") + 1) / (p.count("g") + p.count("b") + 2) for p in counts}
+    good = {p: min(0.98, max(0.02, share[p] - 0.6 * ("b" in p))) for p in counts}
+    for _ in range(7):
+        table = {(k, c, v): 0.5 + sum(good[p] if c else 1 - good[p] for p in docs if p[k] == v) for k in range(3) for c in (0, 1) for v in "gb"}
+        table = {(k, c, v): x / (table[k, c, "g"] + table[k, c, "b"]) for (k, c, v), x in table.items()}
+        prior = [(sum(1 - good[p] for p in docs) + 1) / (len(docs) + 2), (sum(good[p] for p in docs) + 1) / (len(docs) + 2)]
+        for p in counts:
+            like = list(prior)
+            for k, v in enumerate(p):
+                like = [x * (table[k, c, v] if v != "-" else 1) for c, x in enumerate(like)]
+            good[p] = like[1] / (like[0] + like[1])
+    assert all(abs(posterior[p] - good[p]) < 1e-9 for p in counts) and abs(vote[1, 1, 0] - table[1, 1, "g"]) < 1e-9
+
+
 def test_classifier(spark):
     rng = random.Random(2)
     docs = [(i, junk(rng, i % 3) if i % 5 == 0 else sentences(rng, rng.randrange(3, 12))) for i in range(400)]

@@ -19,6 +19,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -119,25 +120,28 @@ def replace_tail(text: str, print_: Fingerprint, keep: int, tail: str) -> tuple[
 def with_next(docs: DataFrame) -> DataFrame:
     """Docs dealt in ranges of ``doc_id`` with a copy, marked ``guest``, of the row that follows each range.
 
-    The range bounds come from an approximate quantile of the ids, the guests from the least id of each range: both
-    are one number for each partition, and whole texts are shuffled once. Ids may repeat (ties are ordered by text)
-    and a null id sorts first; the row after the last is the first.
+    The range bounds come from an approximate quantile of the ids, the guests from the least row of each range: both
+    are one number for each partition, and whole texts are shuffled once. Ids may repeat (ties are ordered by the hash of the
+    text, then by the text) and a null id sorts first; the row after the last is the first. An id that fills several
+    ranges is cut at hashes, so it isn't one task; only rows equal in both stay together.
     """
     spark = docs.sparkSession
     n = shuffle_parts(spark)
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("key", F.coalesce("doc_id", F.lit(-(2**63))))
-    bounds = sorted(set(d.select(F.percentile_approx("key", [i / n for i in range(1, n)] or [0.5], 10 * n)).first()[0] or []))
-    range_of = F.size(F.filter(F.array(*[F.lit(int(x)) for x in bounds]), lambda b: b <= F.col("key"))) if bounds else F.lit(0)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumns({"key": F.coalesce("doc_id", F.lit(-(2**63))), "hash": F.xxhash64("text")})
+    cuts = d.select(F.percentile_approx("key", [i / (4 * n) for i in range(1, 4 * n)], 40 * n)).first()[0] or []  # quarters of ranges
+    hot = {k: times // 2 for k, times in Counter(cuts).items() if times >= 4}  # an id that fills a range: two pieces for each
+    bounds = sorted({(int(k), -(2**63)) for k in cuts[3::4]} | {(int(k), -(2**63) + j * (2**64 // m)) for k, m in hot.items() for j in range(m)})
+    reached = lambda b: (b["key"] < F.col("key")) | ((b["key"] == F.col("key")) & (b["hash"] <= F.col("hash")))
+    range_of = F.size(F.filter(F.array(*[F.struct(F.lit(k).alias("key"), F.lit(h).alias("hash")) for k, h in bounds]), reached)) if bounds else F.lit(0)
     d = d.withColumn("range", range_of)
-    heads = {r["range"]: r["least"] for r in d.groupBy("range").agg(F.min("key").alias("least")).collect()}  # one row for each range
+    heads = {r["range"]: tuple(r["least"]) for r in d.groupBy("range").agg(F.min(F.struct("key", "hash")).alias("least")).collect()}  # one row for each range
     order = sorted(heads)
-    before = {heads[r]: order[i - 1] for i, r in enumerate(order)}  # the first of each range is a guest of the range before
-    dealt = F.array(F.struct(F.col("range").alias("to"), F.lit(False).alias("guest")))
-    if before:
-        guest_of = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])[F.col("key")]
-        dealt = F.when(guest_of.isNull(), dealt).otherwise(F.concat(dealt, F.array(F.struct(F.coalesce(guest_of, F.lit(0)).alias("to"), F.lit(True).alias("guest")))))
-    d = d.select("doc_id", "text", "key", F.explode(dealt).alias("x")).select("x.to", "x.guest", "key", "doc_id", "text")
-    return d.repartitionById(len(bounds) + 1, "to").sortWithinPartitions("guest", "key", "text").drop("to", "key")
+    before = [(*heads[r], order[i - 1]) for i, r in enumerate(order)]  # the first of each range is a guest of the range before
+    guests = F.broadcast(spark.createDataFrame(before, "key long, hash long, host int"))
+    dealt = F.filter(F.array(F.struct(F.col("range").alias("to"), F.lit(False).alias("guest")), F.struct(F.col("host").alias("to"), F.lit(True).alias("guest"))), lambda x: x["to"].isNotNull())
+    d = d.join(guests, ["key", "hash"], "left").select("doc_id", "text", "key", "hash", F.explode(dealt).alias("x")).select("x.to", "x.guest", "key", "hash", "doc_id", "text")
+    return d.repartitionById(len(bounds) + 1, "to").sortWithinPartitions("guest", "key", "hash", "text").drop("to", "key", "hash")
 
 
 _SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -179,7 +183,7 @@ def _fingerprint_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Rec
 def fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text and of its edited text, with their likeness; one row per document.
 
-    Null texts count as empty, repeated rows each get a row, an empty table gives an empty result, other columns of
+    Null texts count as empty, a very long text is hashed paragraph by paragraph, repeated rows each get a row, an empty table gives an empty result, other columns of
     any name are not read.
     """
     return with_next(docs).mapInArrow(_fingerprint_partition, _SCHEMA)

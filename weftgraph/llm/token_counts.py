@@ -109,6 +109,18 @@ class TokenCounter:
         return self._plain(text)
 
 
+_counters: dict[int, TokenCounter] = {}
+
+
+def counter_of(tokenizer_json: str, whole: frozenset[str]) -> TokenCounter:
+    """One counter for each Python worker, whatever number of tasks it runs."""
+    key = hash(tokenizer_json)
+    if key not in _counters:
+        _counters.clear()
+        _counters[key] = TokenCounter(tokenizer_json, whole)
+    return _counters[key]
+
+
 def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 2048) -> DataFrame:
     """One row for each document: bytes, tokens and whether the tokens exceed ``limit``. No shuffle.
 
@@ -120,7 +132,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 2048) -> Dat
     shipped = docs.sparkSession.sparkContext.broadcast((spec, prove_whole_tokens(spec)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = TokenCounter(*shipped.value)
+        counter = counter_of(*shipped.value)
         for batch in batches:
             tokens = [counter.count(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(tokens, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
