@@ -132,15 +132,19 @@ def with_next(docs: DataFrame) -> DataFrame:
     cuts = d.select(F.percentile_approx("key", [i / (4 * n) for i in range(1, 4 * n)], 40 * n)).first()[0] or []  # quarters of ranges
     hot = {k: times // 2 for k, times in Counter(cuts).items() if times >= 4}  # an id that fills a range: two pieces for each
     bounds = sorted({(int(k), -(2**63)) for k in cuts[3::4]} | {(int(k), -(2**63) + j * (2**64 // m)) for k, m in hot.items() for j in range(m)})
-    reached = lambda b: (b["key"] < F.col("key")) | ((b["key"] == F.col("key")) & (b["hash"] <= F.col("hash")))
-    range_of = F.size(F.filter(F.array(*[F.struct(F.lit(k).alias("key"), F.lit(h).alias("hash")) for k, h in bounds]), reached)) if bounds else F.lit(0)
-    d = d.withColumn("range", range_of)
-    heads = {r["range"]: tuple(r["least"]) for r in d.groupBy("range").agg(F.min(F.struct("key", "hash")).alias("least")).collect()}  # one row for each range
+    if hot:
+        by, least = ["key", "hash"], F.struct("key", "hash")
+        edges = [F.struct(F.lit(k).alias("key"), F.lit(h).alias("hash")) for k, h in bounds]
+        reached = lambda b: (b["key"] < F.col("key")) | ((b["key"] == F.col("key")) & (b["hash"] <= F.col("hash")))
+    else:  # plain ids are enough
+        by, least, edges, reached = ["key"], F.col("key"), [F.lit(k) for k, _ in bounds], lambda b: b <= F.col("key")
+    d = d.withColumn("range", F.size(F.filter(F.array(*edges), reached)) if edges else F.lit(0))
+    heads = {r["range"]: r["least"] for r in d.groupBy("range").agg(F.min(least).alias("least")).collect()}  # one row for each range
     order = sorted(heads)
-    before = [(*heads[r], order[i - 1]) for i, r in enumerate(order)]  # the first of each range is a guest of the range before
-    guests = F.broadcast(spark.createDataFrame(before, "key long, hash long, host int"))
+    before = [(*(heads[r] if hot else [heads[r]]), order[i - 1]) for i, r in enumerate(order)]  # the first of each range is a guest of the range before
+    guests = F.broadcast(spark.createDataFrame(before, ", ".join(f"{c} long" for c in by) + ", host int"))
     dealt = F.filter(F.array(F.struct(F.col("range").alias("to"), F.lit(False).alias("guest")), F.struct(F.col("host").alias("to"), F.lit(True).alias("guest"))), lambda x: x["to"].isNotNull())
-    d = d.join(guests, ["key", "hash"], "left").select("doc_id", "text", "key", "hash", F.explode(dealt).alias("x")).select("x.to", "x.guest", "key", "hash", "doc_id", "text")
+    d = d.join(guests, by, "left").select("doc_id", "text", "key", "hash", F.explode(dealt).alias("x")).select("x.to", "x.guest", "key", "hash", "doc_id", "text")
     return d.repartitionById(len(bounds) + 1, "to").sortWithinPartitions("guest", "key", "hash", "text").drop("to", "key", "hash")
 
 
