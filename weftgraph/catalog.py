@@ -156,7 +156,7 @@ def bfs_distance(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def bfs_levels_query(spark: SparkSession, sf: str) -> DataFrame:
     g = load(spark, sf)
-    return bfs_levels(g.knows, best_connected(g), depth=4)[0].groupBy("depth").agg(F.count("*").alias("n"))
+    return bfs_levels(g.knows, best_connected(g), depth=4).groupBy("depth").agg(F.count("*").alias("n"))
 
 
 @query

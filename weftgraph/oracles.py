@@ -20,7 +20,7 @@ comment AS (SELECT 1000000000 + event_id AS id, (epoch_ns(ts) // 1000000) AS cre
   CASE WHEN event_id % 3 = 0 THEN event_id * 7 % (SELECT count(*) FROM orders) END AS reply_of_post, CASE WHEN event_id % 3 <> 0 THEN 999999999 + event_id END AS reply_of_comment FROM events),
 message AS (SELECT 'post' AS kind, id, creation_date, content, creator, place, forum, CAST(NULL AS BIGINT) AS reply_of_post, CAST(NULL AS BIGINT) AS reply_of_comment FROM post
   UNION ALL SELECT 'comment', id, creation_date, content, creator, place, NULL, reply_of_post, reply_of_comment FROM comment),
-pairs AS (SELECT lag(o_custkey) OVER w AS a, o_custkey AS b, epoch_ms(o_orderdate) AS ms FROM orders WHERE o_orderstatus = 'O' WINDOW w AS (ORDER BY o_orderdate, o_orderkey)),
+pairs AS (SELECT lag(o_custkey) OVER w AS a, o_custkey AS b, epoch_ms(o_orderdate) AS ms FROM orders WINDOW w AS (ORDER BY o_orderdate, o_orderkey)),
 knows AS (SELECT src, dst, min(ms) AS creation_date FROM (SELECT a AS src, b AS dst, ms FROM pairs UNION ALL SELECT b, a, ms FROM pairs) WHERE src IS NOT NULL AND dst IS NOT NULL AND src <> dst GROUP BY ALL),
 likes_post AS (SELECT user_id AS src, event_id % (SELECT count(*) FROM orders) AS dst, min((epoch_ns(ts) // 1000000)) AS creation_date FROM events WHERE event_type = 'click' GROUP BY ALL),
 likes_comment AS (SELECT user_id AS src, 1000000000 + event_id * 13 % (SELECT count(*) FROM events) AS dst, min((epoch_ns(ts) // 1000000)) AS creation_date FROM events WHERE event_type = 'view' GROUP BY ALL),

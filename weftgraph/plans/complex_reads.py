@@ -1,4 +1,4 @@
-"""The fourteen complex reads. Each returns a lazy DataFrame but for the path queries, which search level by level.
+"""The fourteen complex reads. Each returns a lazy DataFrame; ic1 and the path queries first search level by level.
 
 Every query starts at a bound vertex, filters before it joins, keeps the top rows by a total order and only then looks
 up names (rows whose target is missing are dropped after the limit).
@@ -12,8 +12,8 @@ from ..functions.scalars import add_days, birthday_in_window, in_window, minutes
 from ..graph import Graph
 from ..operators.aggregates import argmax
 from ..operators.closure import tag_class_descendants
-from ..operators.expand import distances, friends, friends_of_friends, k_hop, organisations_of, residents
-from ..operators.paths import shortest_path_length, weighted_paths
+from ..operators.expand import friends, friends_of_friends, k_hop, organisations_of, residents
+from ..operators.paths import bfs_levels, shortest_path_length, weighted_paths
 
 _NAMES = ("first_name", "last_name")
 
@@ -39,7 +39,8 @@ def _guard(g: Graph, person: int, df: DataFrame) -> DataFrame:
 def ic1(g: Graph, person: int, first_name: str, limit: int = 20) -> DataFrame:
     """Persons of a first name within three steps, with their profile."""
     named = g.person.where(F.col("first_name") == first_name)
-    near = distances(g, person, 3).join(named.select(F.col("id").alias("v"), "last_name"), "v")
+    levels = bfs_levels(g.knows, person, 3, named.select(F.col("id").alias("v")).where(F.col("v") != person), limit)  # no level after the one that fills the limit
+    near = levels.where("depth > 0").withColumnRenamed("depth", "distance").join(named.select(F.col("id").alias("v"), "last_name"), "v")
     near = _top(near, limit, F.col("distance"), F.col("last_name"), F.col("v")).select("v", "distance")
     uni, job = (organisations_of(g, near, r, y).withColumnRenamed("entries", n) for r, y, n in (("study_at", "class_year", "universities"), ("work_at", "work_from", "companies")))
     rows = near.join(named.withColumnRenamed("id", "v"), "v").join(uni, "v").join(job, "v")

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
@@ -51,3 +51,13 @@ def staged(df: DataFrame, purpose: str) -> DataFrame:
     path = shared_dir(df.sparkSession, purpose)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def staged_with(df: DataFrame, purpose: str, **measures: Column) -> tuple[DataFrame, dict]:
+    """``staged``, and what the job that writes it sees: ``n``, the number of rows, and the given aggregates.
+
+    A write that is partly run again may count rows twice: trust that ``n`` is 0 or not, and take it for an estimate else.
+    """
+    seen = Observation()
+    out = staged(df.observe(seen, F.count(F.lit(1)).alias("n"), *[c.alias(k) for k, c in measures.items()]), purpose)
+    return out, seen.get

@@ -1,7 +1,7 @@
 """The graph of a star schema: customers are persons, orders posts, events comments, suppliers forums, parts tags.
 
 Only the tables a query needs are read, and of those only the columns it needs. The one global order (friends are the
-customers of consecutive open orders) is cut in days: neighbours within a day by a window over the day, and each day's
+customers of consecutive orders) is cut in days: neighbours within a day by a window over the day, and each day's
 first order with the last one of the day before over a table of one row a day.
 """
 
@@ -24,7 +24,7 @@ def _typed(df: DataFrame, schema) -> DataFrame:
 
 
 def _knows(orders: DataFrame) -> DataFrame:
-    o = orders.where("o_orderstatus = 'O'").select("o_custkey", "o_orderdate", "o_orderkey")
+    o = orders.select("o_custkey", "o_orderdate", "o_orderkey")
     day = Window.partitionBy("o_orderdate").orderBy("o_orderkey")
     within = o.select(F.lag("o_custkey").over(day).alias("a"), F.col("o_custkey").alias("b"), "o_orderdate")
     ends = o.groupBy("o_orderdate").agg(F.min_by("o_custkey", "o_orderkey").alias("b"), F.max_by("o_custkey", "o_orderkey").alias("last"))
