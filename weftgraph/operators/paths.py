@@ -84,15 +84,15 @@ def all_shortest_paths(g: Graph, one: int, two: int) -> DataFrame:
     if sides is None:
         return spark.range(0).select(F.array("id").alias("path"))
     ahead, back = sides
-    steps = g.knows.select("src", "dst").distinct()
+    steps = g.knows.select("src", "dst")
     mids = ahead.visited.where(F.col("depth") == ahead.depth).join(back.visited.where(F.col("depth") == back.depth), "v", "left_semi")
     paths = mids.select(F.array("v").alias("path"), F.col("v").alias("head"), F.col("v").alias("tail"))
     for d in range(ahead.depth - 1, -1, -1):  # only edges between neighbouring levels
         at = ahead.visited.where(F.col("depth") == d).select(F.col("v").alias("src"))
-        paths = paths.join(steps.join(at, "src", "left_semi"), F.col("head") == F.col("dst")).select(F.concat(F.array("src"), "path").alias("path"), F.col("src").alias("head"), "tail")
+        paths = paths.join(steps.join(at, "src", "left_semi").distinct(), F.col("head") == F.col("dst")).select(F.concat(F.array("src"), "path").alias("path"), F.col("src").alias("head"), "tail")
     for d in range(back.depth - 1, -1, -1):
         at = back.visited.where(F.col("depth") == d).select(F.col("v").alias("dst"))
-        paths = paths.join(steps.join(at, "dst", "left_semi"), F.col("tail") == F.col("src")).select(F.concat("path", F.array("dst")).alias("path"), F.col("dst").alias("tail"))
+        paths = paths.join(steps.join(at, "dst", "left_semi").distinct(), F.col("tail") == F.col("src")).select(F.concat("path", F.array("dst")).alias("path"), F.col("dst").alias("tail"))
     return paths.select("path")
 
 
