@@ -324,6 +324,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             mine = rows if not level else rows.join(labels, "rep", "left") if labels else rows.withColumn("label", F.lit(None).cast("long"))
             mine = mine.select("node", "tree", "used", "rep", F.coalesce("label", "rep").alias("label"))
             mixed_nodes = mine.groupBy("node").agg(F.count("*").alias("members"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("node", "members")
+            mixed_nodes = staged(mixed_nodes, "mixed")  # a join with an aggregate is never split where a node is hot, one with a table is
             mine = staged(mine.hint("merge").join(mixed_nodes, "node"), "rows")
             tiles = F.ceil(F.col("members") * 2 / LEAF).cast("int")
             small = mine.where(F.col("members") <= LEAF).select("node", F.lit(0).alias("tile"), "rep", "label")
